@@ -50,7 +50,7 @@ QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_windows, p7_found, p7
 
 _EXPERIENCE_WORDS = """
   told AS (SELECT DISTINCT exp_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', last_error,
-        array_to_string(list_transform(coalesce(memory_records, []), r -> concat_ws(' ', r.error_signature, r.root_cause)), ' '))), '[a-z0-9]+'))) AS w
+        array_to_string(list_transform(coalesce(memory_records, []), lambda r: concat_ws(' ', r.error_signature, r.root_cause)), ' '))), '[a-z0-9]+'))) AS w
       FROM experience WHERE exp_id IS NOT NULL),
   recs AS (SELECT exp_id, w FROM told WHERE len(w) >= 10)"""
 
