@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import problems
+from strandloom.plans import logs, problems, retrieval
 
-MODULES = [problems]
+MODULES = [problems, retrieval, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

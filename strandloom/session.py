@@ -35,3 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors' Python workers, wherever they run."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_strandloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(path := os.path.join(folder, n), os.path.relpath(path, os.path.dirname(root)))
+    with tempfile.NamedTemporaryFile(prefix="strandloom-", suffix=".zip", delete=False) as f:  # read by the driver's file server
+        f.write(packed.getvalue())
+    sc.addPyFile(f.name)
+    sc._strandloom_shipped = True
