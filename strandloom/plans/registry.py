@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import logs, problems, retrieval
+from strandloom.plans import logs, problems, quality, retrieval
 
-MODULES = [problems, retrieval, logs]
+MODULES = [problems, retrieval, logs, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
