@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import graphs, logs, problems, quality, retrieval
+from strandloom.plans import findings, graphs, logs, problems, quality, retrieval
 
-MODULES = [problems, retrieval, logs, quality, graphs]
+MODULES = [problems, retrieval, logs, quality, graphs, findings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
