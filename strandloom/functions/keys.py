@@ -27,4 +27,4 @@ def normal_path(path: Column) -> Column:
         .when(rooted, acc)
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(slashed.contains(".."), F.concat(F.when(rooted, "/").otherwise(""), F.array_join(resolved, "/"))).otherwise(plain)
+    return F.when(slashed.isin(".", "/"), F.replace(slashed, F.lit("."), F.lit(""))).when(slashed.contains(".."), F.concat(F.when(rooted, "/").otherwise(""), F.array_join(resolved, "/"))).otherwise(plain)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import chunks, findings, graphs, logs, problems, quality, retrieval
+from strandloom.plans import chunks, findings, graphs, logs, problems, quality, retrieval, streams
 
-MODULES = [problems, retrieval, logs, quality, graphs, findings, chunks]
+MODULES = [problems, retrieval, logs, quality, graphs, findings, chunks, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
