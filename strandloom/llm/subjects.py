@@ -29,6 +29,8 @@ SHARE = 0.17
 NOTHING, LEAST, ALPHA_SENTENCE, ALPHA_DOCUMENT = 3.0, 0.5, 0.5, 1.0
 #: Share of a document from which on its subjects teach the document weights; odds of an unlabelled subject in a labelled one.
 MAINLY, UNLABELLED = 0.2, 0.15
+#: A sentence is mostly about what it names first: weight of its first and last words.
+FIRST, LAST = 1.3, 0.7
 _TAG = re.compile(r"<[^>\n]{1,200}>")
 _LEAD = re.compile(r"\s*(?:\[[^\]\n]{1,40}\]\s*|<[^>\n]{1,20}>\s*)*(?:(?://+|#+|\*+|[-+>•]+|\d{1,3}[.)])\s+)?(?:[a-z]{2,12}:\s+)?")
 _STOP = re.compile(r"(?<=[.!?])\s+")
@@ -99,13 +101,16 @@ class _Batch:
         self.x = np.asarray(features.flatten()).astype(np.int64)
         self.sentence = np.repeat(np.arange(len(self.size)), self.size)
         self.n = batch.num_rows
+        words = (self.size[self.sentence] + 1) // 2
+        place = np.arange(len(self.x)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.heed = FIRST - (FIRST - LAST) * np.where(place < words, place, place - words) / np.maximum(words, 1)
 
     def posteriors(self, weights: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
         """(sentences, subjects + 1), the last for 'about nothing'; classes without a majority are set to 0."""
         k = weights.shape[1]
         z = np.empty((len(self.size), k + 1))
         for c in range(k):
-            z[:, c] = np.bincount(self.sentence, weights[self.x, c], len(self.size))
+            z[:, c] = np.bincount(self.sentence, weights[self.x, c] * self.heed, len(self.size))
         z[:, k] = NOTHING
         if prior is not None:
             z += prior[self.doc]
