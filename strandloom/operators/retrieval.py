@@ -6,6 +6,10 @@ Queries are small tables; each operator ranks within a query by a total order. Q
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 QUERY_LIMIT = 10_000
@@ -80,22 +84,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_LIMIT) -> DataFrame:
-    """(query_id, key, score, rank): exact nearest vectors by cosine, without the query itself; zero vectors are skipped.
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000) -> DataFrame:
+    """(query_id, key, score, rank): exact nearest vectors by cosine, without the query itself.
 
-    queries: (query_id, query_vector). The table is scanned once per block of at most ``block`` queries, held against all rows;
-    each task keeps the best k per query before anything is shuffled (a window group limit).
+    queries: (query_id, query_vector), cut into blocks of at most ``block`` rows that are broadcast as one matrix. Each Arrow
+    batch of the table is multiplied with a block and keeps the best k per query (and ties with the last), so that only those
+    are shuffled. Null keys, zero vectors and vectors of another length than the query are skipped.
     """
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)[key]
     n = max(1, -(-queries.count() // block))
     found = None
     for i in range(n):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries
-        sims = vectors.filter(dot(F.col(vector), F.col(vector)) > 0).crossJoin(F.broadcast(part)).filter(F.col(key) != F.col("query_id")).select("query_id", key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("score"))
+        part = (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries).select(F.col("query_id").cast("bigint"), "query_vector").collect()
+        by_size: dict[int, list] = {}
+        for q, v in part:
+            if q is not None and v is not None and any(v):
+                by_size.setdefault(len(v), []).append((q, v))
+        held = spark.sparkContext.broadcast({size: (np.array([q for q, _ in rows], np.int64), _unit(np.array([v for _, v in rows], np.float64))) for size, rows in by_size.items()})
+
+        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = np.asarray(batch.column(1).value_lengths().fill_null(0))
+                out = []
+                for size, (ids, matrix) in held.value.items():
+                    rows = np.flatnonzero(sizes == size)
+                    if not len(rows):
+                        continue
+                    at = pa.array(rows)
+                    keys = np.asarray(batch.column(0).take(at))
+                    flat = np.asarray(batch.column(1).take(at).flatten().cast(pa.float64()).fill_null(0)).reshape(len(rows), size)
+                    score = np.round(_unit(flat) @ matrix.T, 6)
+                    score[~flat.any(1)] = -np.inf
+                    score[keys[:, None] == ids[None, :]] = -np.inf
+                    least = np.partition(score, max(0, len(rows) - k), axis=0)[max(0, len(rows) - k)]
+                    r, q = np.nonzero((score >= least) & (score > -np.inf))
+                    out.append((ids[q], rows[r], score[r, q]))
+                q, r, v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column(0).take(pa.array(r)), pa.array(v)], names=["query_id", key, "score"])
+
+        sims = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(search, f"query_id long, {key} {kind}, score double")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def oversampled(ranked: DataFrame, keep: Column, k: int, key: str) -> DataFrame:
     """From a pool ranked per query (``rank``): filter after the pool was cut, then the first k. May give fewer than k."""
     return top_per(ranked.filter(keep).drop("rank"), "query_id", [F.desc("score"), F.asc(key)], k)
