@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,18 +14,25 @@ from pyspark.sql import DataFrame, functions as F
 PASSAGE, BLOCK = 12, 2
 #: Items whose tables one task holds at a time; more items are searched in several passes.
 ITEMS_AT_ONCE = 20_000
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _BEYOND = re.compile(r"[^\W_]+"), re.compile(r"[^\x00-\x7f]+")
 
 
-@cache
-def _marks() -> re.Pattern:
-    """Combining marks, as Unicode has them."""
-    return re.compile("[" + "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+_known: dict[str, str] = {}
+
+
+def _folded(run: re.Match) -> str:
+    """A run of characters beyond ASCII, remembered, as the same few come again and again."""
+    text = run.group()
+    if (out := _known.get(text)) is None:
+        if len(_known) > 100_000:
+            _known.clear()
+        out = _known[text] = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    return out
 
 
 def fold_text(text: str) -> str:
     """The text without case and accents."""
-    return text.lower() if text.isascii() else _marks().sub("", unicodedata.normalize("NFKD", text)).casefold()
+    return text.lower() if text.isascii() else _BEYOND.sub(_folded, text).lower()
 
 
 def text_words(text: str | None) -> list[str]:

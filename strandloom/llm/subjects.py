@@ -103,14 +103,18 @@ class _Batch:
         self.n = batch.num_rows
         words = (self.size[self.sentence] + 1) // 2
         place = np.arange(len(self.x)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.heed = FIRST - (FIRST - LAST) * np.where(place < words, place, place - words) / np.maximum(words, 1)
+        self.heed = (FIRST - (FIRST - LAST) * np.where(place < words, place, place - words) / np.maximum(words, 1)).astype(np.float32)
 
     def posteriors(self, weights: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
         """(sentences, subjects + 1), the last for 'about nothing'; classes without a majority are set to 0."""
-        k = weights.shape[1]
+        k, starts = weights.shape[1], np.cumsum(self.size) - self.size
         z = np.empty((len(self.size), k + 1))
-        for c in range(k):
-            z[:, c] = np.bincount(self.sentence, weights[self.x, c] * self.heed, len(self.size))
+        at = 0
+        while at < len(self.size):  # in portions, as the gathered weights are eight times the features
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + 500_000)))
+            x = slice(starts[at], starts[to] if to < len(starts) else len(self.x))
+            z[at:to, :k] = np.add.reduceat(weights[self.x[x]] * self.heed[x, None], starts[at:to] - starts[at], axis=0)
+            at = to
         z[:, k] = NOTHING
         if prior is not None:
             z += prior[self.doc]
@@ -122,9 +126,19 @@ class _Batch:
     def by_doc(self, p: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.doc, p[:, c], self.n) for c in range(p.shape[1])], 1) if self.n else np.zeros((0, p.shape[1]))
 
-    def feature_sums(self, p: np.ndarray) -> np.ndarray:
-        """(features, classes) sums of the sentences' rows p."""
-        return np.stack([np.bincount(self.x, p[self.sentence, c], FEATURES) for c in range(p.shape[1])], 1)
+    def feature_sums(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(features, classes) sums of the rows ``at`` (one for each feature) of p, of which few classes are more than 0."""
+        width = p.shape[1]
+        total = np.zeros(FEATURES * width)
+        order = np.argsort(-p, axis=1)
+        for r in range(width):
+            c = order[:, r]
+            v = p[np.arange(len(p)), c]
+            if not v.any():
+                break
+            keep = np.flatnonzero(v[at] > 0)
+            total += np.bincount(self.x[keep] * width + c[at[keep]], v[at[keep]], FEATURES * width)
+        return total.reshape(FEATURES, width)
 
 
 def _gather(features: DataFrame, votes, weights, width: int, step) -> np.ndarray:
@@ -169,7 +183,7 @@ def fit_weights(features: DataFrame, votes: dict[int, np.ndarray], k: int, round
     held = spark.sparkContext.broadcast(votes)
 
     def first(b: _Batch, v: np.ndarray, _) -> np.ndarray:
-        return b.feature_sums(v[b.doc])
+        return b.feature_sums(v, b.doc[b.sentence])
 
     def refine(b: _Batch, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         labelled = v.any(1)
@@ -179,7 +193,7 @@ def fit_weights(features: DataFrame, votes: dict[int, np.ndarray], k: int, round
         p = b.posteriors(w, prior)
         mainly = np.maximum(b.by_doc(p[:, :k]) / np.maximum(b.per_doc, 1)[:, None] - MAINLY, 0)
         mainly /= np.maximum(mainly.sum(1, keepdims=True), 1e-9)
-        return b.feature_sums(np.concatenate([mainly[b.doc], p], 1))
+        return np.concatenate([b.feature_sums(mainly, b.doc[b.sentence]), b.feature_sums(p, b.sentence)], 1)
 
     labelled = features.filter(F.col("doc_id").isin(*votes)) if len(votes) <= 200 else features
     weights = complement_weights(_gather(labelled, held, None, k, first), ALPHA_DOCUMENT, k)
