@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,9 @@ def ship_package(spark: SparkSession) -> None:
             for n in sorted(names):
                 if n.endswith(".py"):
                     z.write(path := os.path.join(folder, n), os.path.relpath(path, os.path.dirname(root)))
-    with tempfile.NamedTemporaryFile(prefix="strandloom-", suffix=".zip", delete=False) as f:  # read by the driver's file server
+    shared = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
+    folder = shared.path if shared.scheme in ("", "file") and os.path.isdir(shared.path) else None
+    with tempfile.NamedTemporaryFile(prefix="strandloom-", suffix=".zip", dir=folder, delete=False) as f:  # the driver serves it
         f.write(packed.getvalue())
     sc.addPyFile(f.name)
     sc._strandloom_shipped = True
