@@ -26,7 +26,7 @@ def _roots(spark, d):
 
 
 def closure(spark, d):
-    return G.reachable(_parts(spark, d), _parts(spark, d).select(F.col("src").alias("root")).filter("root % 10 = 0")).select("root", "node")
+    return G.reachable(_parts(spark, d), _parts(spark, d).select(F.col("src").alias("root"))).select("root", "node")
 
 
 def hops(spark, d):
@@ -95,7 +95,7 @@ def taint(spark, d):
 def causal_roots(spark, d):
     """Ancestors without a parent within five steps up, with a confidence of 0.8 to the power of the chain's nodes."""
     up = _parts(spark, d)
-    seen = G.reachable(up, up.select(F.col("src").alias("root")).filter("root % 7 = 0"), depth=5)
+    seen = G.reachable(up, up.select(F.col("src").alias("root")), depth=5)
     top = G.degrees(up).filter("role = 'leaf'").select("node")
     return seen.join(top, "node", "left_semi").select("root", "node", F.round(F.pow(F.lit(0.8), F.col("hops") + 1), 6).alias("confidence"))
 
@@ -171,7 +171,7 @@ _SCC = f"{_ALL}, nodes AS (SELECT src AS node FROM files UNION SELECT dst FROM f
 _WALK = "walk AS (SELECT root, dst AS node, 1 AS hops FROM froots JOIN files ON root = src UNION SELECT w.root, f.dst, w.hops + 1 FROM walk w JOIN files f ON w.node = f.src WHERE w.hops < {} {})"
 _LEVEL = "lev AS (SELECT p AS node, 0 AS level FROM (SELECT src AS p FROM parts UNION SELECT dst FROM parts) WHERE p NOT IN (SELECT src FROM parts) UNION SELECT e.src, l.level + 1 FROM lev l JOIN parts e ON e.dst = l.node)"
 SQL = {
-    "closure": f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS root, dst AS node FROM parts WHERE src % 10 = 0 UNION SELECT r.root, p.dst FROM r JOIN parts p ON r.node = p.src) SELECT * FROM r",
+    "closure": f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS root, dst AS node FROM parts UNION SELECT r.root, p.dst FROM r JOIN parts p ON r.node = p.src) SELECT * FROM r",
     "hops": f"WITH RECURSIVE {_FILES}, {_WALK.format(40, '')} SELECT root, node, min(hops)::BIGINT AS hops FROM walk GROUP BY 1, 2",
     "scc": f"WITH RECURSIVE {_FILES}, {_SCC} SELECT * FROM comp",
     "cycle_nodes": f"WITH RECURSIVE {_FILES}, {_ALL} SELECT DISTINCT src AS node FROM reach WHERE src = dst",
@@ -183,7 +183,7 @@ lev AS (SELECT node, cost AS total FROM (SELECT src AS node FROM parts UNION SEL
     "cycle_breaks": f"WITH RECURSIVE {_FILES}, {_SCC} SELECT component, src, dst FROM (SELECT a.component, src, dst, row_number() OVER (PARTITION BY a.component ORDER BY length(src) + length(dst), src, dst) AS n FROM files JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component = b.component AND src <> dst) WHERE n = 1",
     "unreachable": f"WITH RECURSIVE {_FILES}, s AS (SELECT DISTINCT src AS node FROM files WHERE src NOT IN (SELECT dst FROM files) UNION SELECT f.dst FROM s JOIN files f ON s.node = f.src) SELECT node FROM (SELECT src AS node FROM files UNION SELECT dst FROM files) WHERE node NOT IN (SELECT node FROM s)",
     "taint": f"WITH RECURSIVE {_FILES}, open AS (SELECT * FROM files WHERE NOT ends_with(src, '.h')), walk AS (SELECT root, dst AS node, 1 AS hops FROM froots JOIN open ON root = src UNION SELECT w.root, f.dst, w.hops + 1 FROM walk w JOIN open f ON w.node = f.src WHERE w.hops < 6) SELECT root, node, min(hops)::BIGINT AS hops FROM walk GROUP BY 1, 2",
-    "causal_roots": f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS root, dst AS node, 1 AS hops FROM parts WHERE src % 7 = 0 UNION SELECT r.root, p.dst, r.hops + 1 FROM r JOIN parts p ON r.node = p.src WHERE r.hops < 5) SELECT root, node, round(power(0.8::DOUBLE, min(hops) + 1), 6) AS confidence FROM r WHERE node NOT IN (SELECT src FROM parts) GROUP BY 1, 2",
+    "causal_roots": f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS root, dst AS node, 1 AS hops FROM parts UNION SELECT r.root, p.dst, r.hops + 1 FROM r JOIN parts p ON r.node = p.src WHERE r.hops < 5) SELECT root, node, round(power(0.8::DOUBLE, min(hops) + 1), 6) AS confidence FROM r WHERE node NOT IN (SELECT src FROM parts) GROUP BY 1, 2",
     "snapshot_root": "SELECT folder, sub, sha256(string_agg(line, '' ORDER BY line)) AS root FROM (SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS sub, path || '|' || h || chr(10) AS line FROM (SELECT path, arg_max(content_hash, (mtime, content_hash)) AS h FROM file_index_state GROUP BY path)) GROUP BY 1, 2",
     "symbol_lookup": "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('FRANCE', 'GERMANY', 'NATION_1', 'NATION_2')",
     "call_sites": "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49",

@@ -160,3 +160,14 @@ def test_p5_types_under_other_names(spark):
     df = df.selectExpr("*", "'w' workflow_id", "ingest_id version")
     got_ = {tuple(r[3:]) for r in activity_changes(df, {("f", "activity_scheduled"): {"task": "activity_id"}}).collect()}
     assert got_ == {("insert", "a", "s", 3), ("insert", "b", None, None)}
+
+
+def test_p5_and_p1_with_nulls_and_nothing(spark):
+    from strandloom.operators.activities import current_activities
+
+    df = spark.createDataFrame(
+        [(1, "f", 1, "w", 1, 1, "activity_scheduled", '{"activity_id": "a", "status": "s", "attempt": 1}'), (None, "f", 1, "w", 1, 1, "activity_cancelled", '{"activity_id": "a"}'), (2, None, 1, "w", 2, 1, "activity_started", '{"activity_id": "a", "status": "r"}'), (3, "f", None, "w", 3, None, None, None), (4, "f", 1, None, 4, 1, "activity_scheduled", '{"activity_id": "b"}'), (5, "f", 1, "w", None, 1, "activity_scheduled", '{"activity_id": "c"}'), (6, "f", 1, "w", 6, 1, "activity_scheduled", '{"activity_id": null}'), (7, "f", 1, "w", 7, 1, "activity_started", '{"activity_id": "zz", "status": "r"}')],
+        "ingest_id long, feed string, file_no int, workflow_id string, version long, schema_version int, event_type string, payload_json string",
+    )
+    assert got(current_activities(df)) == [("w", "a", "r", 1, 2)]
+    assert got(current_activities(df.limit(0))) == [] and got(schema_changes(df)) == []
