@@ -21,8 +21,8 @@ def _parts(spark, d):
 
 
 def _roots(spark, d):
-    """The three first sources by name."""
-    return _files(spark, d).select(F.col("src").alias("root")).distinct().orderBy("root").limit(3)
+    """Every source."""
+    return _files(spark, d).select(F.col("src").alias("root")).distinct()
 
 
 def closure(spark, d):
@@ -86,9 +86,9 @@ def _from_all_roots(e):
 
 
 def taint(spark, d):
-    """Reached from the first sources without passing a header file."""
+    """Reached from every source without passing a header file; a header as source passes nothing on."""
     e = _files(spark, d)
-    stop = e.select(F.col("dst").alias("node")).filter("node LIKE '%.h'").distinct()
+    stop = e.select(F.col("src").alias("node")).filter("node LIKE '%.h'").distinct()
     return G.reachable(e, _roots(spark, d), depth=6, blocked=stop).select("root", "node", "hops")
 
 
