@@ -153,20 +153,28 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str, start: s
     return hit.groupBy(*points.columns).agg(F.max(F.struct("_s", "_id"))["_id"].alias("owner"))
 
 
-def resolved(uses: DataFrame, definitions: DataFrame, name: str, scopes: list[tuple[str, Column]]) -> DataFrame:
+def resolved(uses: DataFrame, definitions: DataFrame, name: str, scopes: list[tuple[str, str | None, str | None]]) -> DataFrame:
     """Best definitions of each use: (use_id, def_id, scope, confidence).
 
-    Joined by name; the first scope whose condition holds counts, the nearest scope wins, and n definitions in it share the
-    confidence 1 / n.
+    scopes: from near to far, a label and the columns of the use and of the definition that must be equal; None for both holds
+    anywhere. The nearest scope with a definition of the name wins, and n definitions in it share the confidence 1 / n. Null names
+    and null scopes meet nothing. Definitions are counted per name and scope and asked once for each place of use, so that uses
+    meet those of their nearest scope only.
     """
-    both = uses.join(definitions, name)
-    rank = F.lit(len(scopes))
-    for i, (_, condition) in reversed(list(enumerate(scopes))):
-        rank = F.when(condition, F.lit(i)).otherwise(rank)
-    ranked = both.withColumn("_r", rank).filter(F.col("_r") < len(scopes))
-    best = ranked.withColumn("_b", F.min("_r").over(W.partitionBy("use_id"))).filter("_r = _b")
-    names = F.array(*(F.lit(s) for s, _ in scopes))
-    return best.select("use_id", "def_id", F.get(names, F.col("_r")).alias("scope"), F.round(1 / F.count("*").over(W.partitionBy("use_id")), 6).alias("confidence"))
+    key = lambda c: F.lit("") if c is None else F.col(c).cast("string")
+    at = lambda side: F.explode(F.array(*(F.struct(F.lit(i).alias("_s"), key(x[side]).alias("_k")) for i, x in enumerate(scopes))))
+    places = list(dict.fromkeys(u for _, u, _ in scopes if u is not None))
+    held = definitions.select("def_id", name, at(2).alias("_a")).select("def_id", name, "_a.*")
+    counts = held.groupBy(name, "_s", "_k").agg(F.count("*").alias("_n"))
+    asked = uses.select(name, *places).distinct().select(name, *places, at(1).alias("_a")).select(name, *places, "_a.*")
+    nearest = asked.join(counts, [name, "_s", "_k"]).groupBy(name, *places).agg(F.min(F.struct("_s", "_k", "_n")).alias("_b"))
+    nearest = nearest.select(F.col(name).alias("_name"), *(F.col(p).alias(f"_at_{p}") for p in places), "_b.*")
+    same = F.col(name) == F.col("_name")
+    for p in places:
+        same &= F.col(p).eqNullSafe(F.col(f"_at_{p}"))
+    best = uses.join(nearest, same).select("use_id", name, "_s", "_k", "_n").join(held, [name, "_s", "_k"])
+    labels = F.array(*(F.lit(x[0]) for x in scopes))
+    return best.select("use_id", "def_id", F.get(labels, F.col("_s")).alias("scope"), F.round(1 / F.col("_n"), 6).alias("confidence"))
 
 
 def edit_kinds(old: DataFrame, new: DataFrame, parent: str, kind: str, order: str, name: str, signature: str) -> DataFrame:

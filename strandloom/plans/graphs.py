@@ -114,9 +114,9 @@ def snapshot_root(spark, d):
 
 
 def _defs(spark, d):
-    """Parts as symbols: defined at their supplier's file, spans of ten numbers in a file of a hundred."""
+    """Parts as symbols: defined at their supplier's file, a file holds a hundred numbers, a module a thousand, a crate ten thousand."""
     p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").cast("bigint").alias("def_id"), F.col("p_brand").alias("name"), F.floor(F.col("p_partkey") / 100).alias("file"), F.floor(F.col("p_partkey") / 1000).alias("module"))
+    return p.select(F.col("p_partkey").cast("bigint").alias("def_id"), F.col("p_brand").alias("name"), F.floor(F.col("p_partkey") / 100).alias("file"), F.floor(F.col("p_partkey") / 1000).alias("module"), F.floor(F.col("p_partkey") / 10000).alias("crate"))
 
 
 def symbol_lookup(spark, d):
@@ -127,7 +127,7 @@ def symbol_lookup(spark, d):
 
 def call_sites(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return li.filter("l_quantity >= 49").join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
 def callees(spark, d):
@@ -148,10 +148,10 @@ def enclosing_def(spark, d):
 
 
 def symbol_resolve(spark, d):
-    """Lines with a high tax use the brand of their part; definitions in its file, its module or anywhere among the first 2,000."""
+    """Every line uses the brand of its part; definitions in the part's file, else its module, its crate or anywhere."""
     defs = _defs(spark, d)
-    uses = table(spark, d, "lineitem").filter("l_tax >= 0.08 AND l_quantity >= 48").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use_id"), F.col("l_partkey").alias("def_id")).join(defs, "def_id").select("use_id", "name", F.col("file").alias("use_file"), F.col("module").alias("use_module"))
-    return G.resolved(uses, defs, "name", [("file", F.col("use_file") == F.col("file")), ("module", F.col("use_module") == F.col("module"))])
+    uses = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use_id"), F.col("l_partkey").alias("def_id")).join(defs, "def_id").select("use_id", "name", "file", "module", "crate")
+    return G.resolved(uses, defs, "name", [*((s, s, s) for s in ("file", "module", "crate")), ("workspace", None, None)])
 
 
 def edit_kinds(spark, d):

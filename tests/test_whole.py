@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 
+from strandloom.operators import graphs as G
 from strandloom.plans import graphs
 
 
@@ -47,3 +48,23 @@ def test_call_paths_from_every_source(spark, sf_dir):
 
 def test_taint_from_every_source(spark, sf_dir):
     assert {r.root for r in graphs.taint(spark, sf_dir).select("root").distinct().collect()} == {r for r in edges_of(sf_dir) if not r.endswith(".h")}
+
+
+def test_scopes_from_near_to_far(spark):
+    defs = spark.createDataFrame([(1, "a", 1, 1, 1), (2, "b", 2, 1, 1), (3, "b", 2, 1, 1), (4, "c", 9, 9, 1), (5, "d", 9, 9, 9), (6, "a", 2, 1, 1), (7, None, 1, 1, 1)], "def_id long, name string, file long, module long, crate long")
+    uses = spark.createDataFrame([(i, n, 1, 1, 1) for i, n in enumerate("abcde")] + [(5, None, 1, 1, 1), (6, "c", None, None, 1)], "use_id long, name string, file long, module long, crate long")
+    got = G.resolved(uses, defs, "name", [*((s, s, s) for s in ("file", "module", "crate")), ("workspace", None, None)])
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "file", 1.0), (1, 2, "module", 0.5), (1, 3, "module", 0.5), (2, 4, "crate", 1.0), (3, 5, "workspace", 1.0), (6, 4, "crate", 1.0)]
+
+
+def test_symbol_resolve_and_call_sites_of_all_lines(spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    held = defaultdict(list)
+    for i, name in con.execute("SELECT p_partkey, p_brand FROM part").fetchall():
+        held[name, i // 100].append(i)
+    lines = con.execute("SELECT l_orderkey * 10 + l_linenumber, p_brand, p_partkey // 100 FROM lineitem JOIN part ON l_partkey = p_partkey").fetchall()
+    want = sorted((u, i, "file", round(1 / len(held[n, f]), 6)) for u, n, f in lines for i in held[n, f])
+    assert sorted(map(tuple, graphs.symbol_resolve(spark, sf_dir).collect())) == want
+    assert sorted(map(tuple, graphs.call_sites(spark, sf_dir).collect())) == sorted(con.execute("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall())
