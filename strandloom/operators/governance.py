@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Patterns of personal data, applied in this order (fixed values); none needs look-around.
+#: Patterns of personal data and secrets, applied in this order (fixed values); none needs look-around. Passwords come last, as they
+#: take any text after the word, and keys before the numbers that may stand in them.
 PII = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b",
-    "phone": r"\b[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}\b",
-    "key": r"\b[A-Za-z]{2}-[0-9]{4,6}\b",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "api_key": r"(?i)(?:api[_-]?key|apikey|secret)[=:\s]+['\"]?[A-Z0-9_-]{16,}['\"]?",
+    "phone": r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
+    "ssn": r"\b[0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{4}\b",
+    "credit_card": r"\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b",
+    "ip_address": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    "password": r"(?i)(?:password|pwd|passwd)[=:\s]+\S+",
 }
 #: Provenance levels from weakest to strongest (fixed values).
 LEVELS = ["none", "low", "medium", "high", "verified"]

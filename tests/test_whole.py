@@ -3,8 +3,9 @@
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
-from strandloom.operators import graphs as G
+from strandloom.operators import governance, graphs as G
 from strandloom.plans import graphs
 
 
@@ -68,3 +69,23 @@ def test_symbol_resolve_and_call_sites_of_all_lines(spark, sf_dir):
     want = sorted((u, i, "file", round(1 / len(held[n, f]), 6)) for u, n, f in lines for i in held[n, f])
     assert sorted(map(tuple, graphs.symbol_resolve(spark, sf_dir).collect())) == want
     assert sorted(map(tuple, graphs.call_sites(spark, sf_dir).collect())) == sorted(con.execute("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall())
+
+
+def test_personal_data_in_each_form(spark):
+    forms = {
+        "email": ["a.b@c.org", "A+B@C.DE"],
+        "phone": ["415-555-2671", "415.555.2671", "415 555 2671", "4155552671", "(415) 555 2671", "+1 415 555 2671", "1-415-555-2671"],
+        "ssn": ["917-37-9430", "917 37 9430", "917379430", "91737 9430"],
+        "credit_card": ["4111-1111-1111-1111", "4111 1111 1111 1111", "4111111111111111"],
+        "ip_address": ["10.0.0.255"],
+        "password": ["password: hunter2", "pwd: x", "PASSWD=Secret1", "pwd (415) 555 2671", "password 917 37 9430"],
+        "api_key": ["api_key=abcdefghijklmnop", "API-KEY: 'ABCDEFGHIJKLMNOP'", "apikey abcdefgh_12345-78", "secret=abcd-415-555-2671-efgh", "secret: 4111111111111111"],
+    }
+    rows = [(kind, x) for kind, xs in forms.items() for x in xs]
+    df = spark.createDataFrame([(k, f"see {x} now") for k, x in rows], "kind string, text string")
+    out = df.select("kind", "text", governance.redact(F.col("text")).alias("done"), *(c.alias(n) for n, c in governance.pii_counts(F.col("text")).items())).collect()
+    assert set(governance.PII) == set(forms) and [r.text for r in out if r[r.kind] != 1] == []
+    left = "see {}[{}] now"
+    assert [r.done for r in out if r.done.replace("+[", "[").replace("([", "[") != left.format("", r.kind.upper())] == []
+    clean = spark.createDataFrame([("AB-1234 and 12345678 of 1.2.3 in secretary passwords",), (None,)], "text string").select(*(c.alias(n) for n, c in governance.pii_counts(F.col("text")).items()))
+    assert [sum(r) for r in clean.collect()] == [0, 0]
