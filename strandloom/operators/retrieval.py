@@ -6,12 +6,15 @@ Queries are small tables; each operator ranks within a query by a total order. Q
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strandloom.session import cut_lineage
+
 QUERY_LIMIT = 10_000
 RRF_K, K1, B = 60, 1.2, 0.75
 
@@ -50,6 +53,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
 
     Only postings of query terms are shuffled for scoring; document frequencies come from the same aggregate.
     """
+    return in_blocks(queries, lambda part: _bm25(chunks, part, key, text, k, k1, b))
+
+
+def _bm25(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int, k1: float, b: float) -> DataFrame:
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     corpus = chunks.select(key, tokens(F.col(text)).alias("w"))
     size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
@@ -63,15 +70,39 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     return top_per(total, "query_id", [F.desc("score"), F.asc(key)], k)
 
 
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = 1_000) -> DataFrame:
+    """search(queries) in blocks of about ``block`` queries, so that what is shuffled at once doesn't grow with the queries."""
+    n = max(1, -(-queries.count() // block))
+    if n == 1:
+        return search(queries)
+    parts = [cut_lineage(search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def term_hits(chunks: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key, n): distinct query terms that the text holds as a substring, where there is one.
+
+    Terms are whole runs of token characters, so each lies within a token of the text: parts of the vocabulary's tokens are joined
+    with the terms, and then postings, without a scan of the texts per query.
+    """
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = wanted.select("term").distinct()
+    lengths = F.broadcast(terms.select(F.length("term").alias("len")).distinct())  # no more rows than characters in the longest term
+    posted = chunks.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
+    parts = posted.select("token").distinct().join(lengths, F.col("len") <= F.length("token")).select("token", "len", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("len") + 1)).alias("at"))
+    held = parts.select("token", F.substring(F.col("token"), F.col("at"), F.col("len")).alias("term")).join(terms, "term", "left_semi").distinct()
+    hits = posted.join(held, "token").select(key, "term").distinct()
+    return hits.join(wanted, "term").groupBy("query_id", key).agg(F.count("*").alias("n"))
+
+
 def term_score(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10, weight: float = 2.0) -> DataFrame:
     """(query_id, key, score, rank): ``weight`` for each distinct query term the text holds as a substring; 0 is dropped."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
-    hay = F.lower(F.coalesce(F.col(text), F.lit("")))
-    score = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.when(hay.contains(t), F.lit(weight)).otherwise(F.lit(0.0)))
-    if asked.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries: search them in blocks")
-    scored = chunks.select(key, text).crossJoin(F.broadcast(asked)).select("query_id", key, score.alias("score")).filter("score > 0")
-    return top_per(scored, "query_id", [F.desc("score"), F.asc(key)], k)
+
+    def search(part: DataFrame) -> DataFrame:
+        scored = term_hits(chunks, part, key, text).select("query_id", key, (F.col("n") * F.lit(weight)).alias("score"))
+        return top_per(scored.filter("score > 0"), "query_id", [F.desc("score"), F.asc(key)], k)
+
+    return in_blocks(queries, search)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import findings as N, frames as C, retrieval as R
+from strandloom.plans.retrieval import searches
 from strandloom.session import table
 
 RULES = [("todo", "open point|Open point", "low"), ("fault", "fault handler|frame", "high"), ("leak", "leaks a secret|expired credential", "critical"), ("hash", "0x[0-9A-F]{5}", "info")]
@@ -108,13 +109,22 @@ def rule_conflicts(spark, d):
 
 
 def schema_score(spark, d):
-    """One point a query term, four for a register word, two hints and a half for a page."""
-    q = spark.createDataFrame([(1, "flash sector erase"), (2, "uart driver stack")], "query_id long, query string")
+    """One point a query term, four for a register word, three for a driver word and a half for a page; the keywords of each
+    document whose id is divisible by 20 against all others."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    terms = F.aggregate(R.tokens(F.col("query")), F.lit(0.0), lambda s, t: s + F.when(low.contains(t), 1.0).otherwise(0.0))
-    score = terms + F.when(low.contains("register"), 4.0).otherwise(0.0) + F.when(low.contains("driver"), 3.0).otherwise(0.0) + F.when(F.col("doc_type") == "page", 0.5).otherwise(0.0)
-    rows = table(spark, d, "documents").crossJoin(F.broadcast(q)).select("query_id", "doc_id", score.alias("score")).filter("score > 0")
-    return R.top_per(rows, "query_id", [F.desc("score"), F.asc("doc_id")], 20)
+    bonus = F.when(low.contains("register"), 4.0).otherwise(0.0) + F.when(low.contains("driver"), 3.0).otherwise(0.0) + F.when(F.col("doc_type") == "page", 0.5).otherwise(0.0)
+    docs = table(spark, d, "documents")
+    points = docs.select("doc_id", bonus.alias("bonus"))
+    # without a term, only the first 21 by their points alone can be among a query's first 20 others
+    head = points.filter("bonus > 0").orderBy(F.desc("bonus"), "doc_id").limit(21)
+
+    def search(q):
+        hits = R.term_hits(docs, q, "doc_id", "text").join(points, "doc_id").select("query_id", "doc_id", (F.col("n") + F.col("bonus")).alias("score"))
+        alone = q.select("query_id").crossJoin(F.broadcast(head)).select("query_id", "doc_id", F.col("bonus").alias("score"))
+        both = hits.unionByName(alone).filter("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        return R.top_per(both, "query_id", [F.desc("score"), F.asc("doc_id")], 20)
+
+    return R.in_blocks(searches(spark, d), search)
 
 
 def close_names(spark, d):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import retrieval as R
+from strandloom.operators import chunking, retrieval as R
 from strandloom.session import table
 
-#: Fixed query set; ids are stable.
+#: Fixed texts for query_expansion; searches ask the documents.
 ASKED = [(1, "flash sector map erase cycle"), (2, "frames dropped at bus load"), (3, "recall of the context window"), (4, "signing certificate audit trail"), (5, "meeting agenda and hiring plan")]
 STOP = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "not"]
 SYNONYMS = {"bus": ["can", "lin"], "flash": ["nvm", "erase"], "recall": ["retrieval", "ranking"]}
@@ -18,6 +18,24 @@ def asked(spark):
     return spark.createDataFrame(ASKED, "query_id long, query string")
 
 
+def searches(spark, d):
+    """Keywords of the documents whose id is divisible by 20, against all rows."""
+    return table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(R.keywords(F.col("text"), STOP), " ").alias("query"))
+
+
+def _others(search, docs, q, k=10):
+    """First k of a lexical search without the query's own document, as the vector searches leave it out."""
+    rows = search(docs, q, k=k + 1).filter("doc_id <> query_id").drop("rank")
+    return R.top_per(rows, "query_id", [F.desc("score"), F.asc("doc_id")], k)
+
+
+def _nearest(docs, k):
+    """Nearest documents by their hashed embeddings, for the documents whose id is divisible by 20."""
+    v = chunking.hash_embedding(docs, "doc_id", "text")
+    q = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return R.knn(v, q, "doc_id", "embedding", k)
+
+
 def vector_queries(spark, d):
     """Vectors whose id is divisible by 20, against all rows."""
     return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -28,16 +46,16 @@ def _pool(spark, d, k=40):
 
 
 def term_score(spark, d):
-    return R.term_score(table(spark, d, "documents"), asked(spark))
+    return _others(R.term_score, table(spark, d, "documents"), searches(spark, d))
 
 
 def bm25(spark, d):
-    return R.bm25(table(spark, d, "documents"), asked(spark))
+    return _others(R.bm25, table(spark, d, "documents"), searches(spark, d))
 
 
 def rrf_hybrid(spark, d):
-    docs, q = table(spark, d, "documents"), asked(spark)
-    return R.reciprocal_rank_fusion([R.term_score(docs, q, k=40), R.bm25(docs, q, k=40)], "doc_id", 10)
+    docs = table(spark, d, "documents")
+    return R.reciprocal_rank_fusion([_others(R.bm25, docs, searches(spark, d), 40), _nearest(docs, 40)], "doc_id", 10)
 
 
 def knn_topk(spark, d):
@@ -63,18 +81,18 @@ def l2_score(spark, d):
 
 
 def merge_fused(spark, d):
-    docs, q = table(spark, d, "documents"), asked(spark)
-    lex, vec = R.term_score(docs, q), R.bm25(docs, q)
+    docs = table(spark, d, "documents")
+    lex, vec = _others(R.term_score, docs, searches(spark, d)), _nearest(docs, 10)
     return R.weighted_merge(lex, vec, "doc_id").select("query_id", "doc_id", "lexical_score", "vector_score", "score", "rank")
 
 
 def semi_candidates(spark, d):
-    docs, q = table(spark, d, "documents"), asked(spark)
-    return R.kept_candidates(R.bm25(docs, q, k=30), R.term_score(docs, q), docs.filter("lang = 'en'"), "doc_id", least=6.0)
+    docs = table(spark, d, "documents")
+    return R.kept_candidates(_nearest(docs, 30), _others(R.term_score, docs, searches(spark, d)), docs.filter("lang = 'en'"), "doc_id")
 
 
 def confidence(spark, d):
-    return R.confidence_label(R.bm25(table(spark, d, "documents"), asked(spark)))
+    return R.confidence_label(bm25(spark, d))
 
 
 def path_dedup(spark, d):
@@ -110,8 +128,8 @@ def intent(spark, d):
 def jaccard(spark, d):
     """Token sets of each document against each query."""
     docs = table(spark, d, "documents").select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("w"))
-    q = asked(spark).select("query_id", F.array_distinct(R.tokens(F.col("query"))).alias("q"))
-    return docs.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.round(R.jaccard(F.col("q"), F.col("w")), 6).alias("jaccard"), F.round(R.overlap_of_first(F.col("q"), F.col("w")), 6).alias("overlap"))
+    q = searches(spark, d).select("query_id", F.array_distinct(R.tokens(F.col("query"))).alias("q"))
+    return docs.crossJoin(R.small(q)).filter("doc_id <> query_id").select("query_id", "doc_id", F.round(R.jaccard(F.col("q"), F.col("w")), 6).alias("jaccard"), F.round(R.overlap_of_first(F.col("q"), F.col("w")), 6).alias("overlap"))
 
 
 def char_overlap(spark, d):
@@ -152,7 +170,7 @@ def proximity_order(spark, d):
 def rerank(spark, d):
     """BM25 pool of 10 reranked by Jaccard with the query, ties by the first score, then id."""
     docs = table(spark, d, "documents")
-    pool = R.bm25(docs, asked(spark)).drop("rank").join(docs.select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("w")), "doc_id").join(F.broadcast(asked(spark)), "query_id")
+    pool = bm25(spark, d).drop("rank").join(docs.select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("w")), "doc_id").join(R.small(searches(spark, d)), "query_id")
     scored = pool.select("query_id", "doc_id", "score", F.round(R.jaccard(F.array_distinct(R.tokens(F.col("query"))), F.col("w")), 6).alias("rerank_score"))
     return R.top_per(scored, "query_id", [F.desc("rerank_score"), F.desc("score"), F.asc("doc_id")], 10)
 

@@ -1,12 +1,14 @@
 """Queries do the whole job: held against plain Python over all rows of the tables, not against the queries' SQL."""
 
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 from pyspark.sql import functions as F
 
-from strandloom.operators import governance, graphs as G
-from strandloom.plans import graphs
+from strandloom.operators import governance, graphs as G, retrieval as R
+from strandloom.plans import findings, graphs, retrieval
 
 
 def edges_of(sf_dir):
@@ -89,3 +91,52 @@ def test_personal_data_in_each_form(spark):
     assert [r.done for r in out if r.done.replace("+[", "[").replace("([", "[") != left.format("", r.kind.upper())] == []
     clean = spark.createDataFrame([("AB-1234 and 12345678 of 1.2.3 in secretary passwords",), (None,)], "text string").select(*(c.alias(n) for n, c in governance.pii_counts(F.col("text")).items()))
     assert [sum(r) for r in clean.collect()] == [0, 0]
+
+
+def asked_of(sf_dir):
+    """Texts and types by id, and the keywords of those whose id is divisible by 20."""
+    docs = {i: ((t or "").lower(), k) for i, t, k in duckdb.sql(f"SELECT doc_id, text, doc_type FROM read_parquet('{sf_dir}/documents.parquet')").fetchall()}
+    words = lambda t: re.findall("[a-z0-9_]+", t)
+    asked = {i: list(dict.fromkeys(w for w in words(t) if len(w) >= 3 and w not in retrieval.STOP))[:16] for i, (t, _) in docs.items() if i % 20 == 0}
+    return docs, asked, words
+
+
+def best(scores, k):
+    return {q: sorted(((-s, i) for i, s in x.items() if s > 0 and i != q))[:k] for q, x in scores.items()}
+
+
+def test_lexical_searches_ask_every_twentieth_document(spark, sf_dir):
+    docs, asked, words = asked_of(sf_dir)
+    got = defaultdict(list)
+    for r in retrieval.term_score(spark, sf_dir).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.doc_id))
+    assert len(got) == len(asked) and got == best({q: {i: 2.0 * sum(w in t for w in ws) for i, (t, _) in docs.items()} for q, ws in asked.items()}, 10)
+
+    tf = {i: Counter(words(t)) for i, (t, _) in docs.items()}
+    df, mean = Counter(w for c in tf.values() for w in c), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    part = lambda c, w: math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+    want = {q: {i: sum(part(c, w) for w in ws if w in c) for i, c in tf.items()} for q, ws in asked.items()}
+    rows = retrieval.bm25(spark, sf_dir).collect()
+    assert {r.query_id for r in rows} == set(asked) and len(rows) == sum(len(x) for x in best(want, 10).values())
+    assert all(abs(r.score - want[r.query_id][r.doc_id]) < 1e-5 and abs(r.score + best(want, 10)[r.query_id][r["rank"] - 1][0]) < 1e-5 for r in rows)
+
+
+def test_schema_score_asks_every_twentieth_document(spark, sf_dir):
+    docs, asked, _ = asked_of(sf_dir)
+    bonus = {i: 4.0 * ("register" in t) + 3.0 * ("driver" in t) + 0.5 * (k == "page") for i, (t, k) in docs.items()}
+    got = defaultdict(list)
+    for r in findings.schema_score(spark, sf_dir).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.doc_id))
+    assert got == best({q: {i: sum(w in t for w in ws) + bonus[i] for i, (t, _) in docs.items()} for q, ws in asked.items()}, 20)
+
+
+def test_searches_in_blocks_and_all_users(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta_gamma"), (2, "alphabet"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, "alpha gamma") for i in range(9)], "query_id long, query string")
+    monkeypatch.setattr(R.in_blocks, "__defaults__", (2,))
+    assert sorted((r.query_id, r.doc_id, r.score) for r in R.term_score(docs, q).collect()) == [x for i in range(9) for x in ((i, 1, 4.0), (i, 2, 2.0))]
+    assert R.bm25(docs, q).count() == 9
+    asked = set(asked_of(sf_dir)[1])
+    assert set() < {r.query_id for r in retrieval.semi_candidates(spark, sf_dir).collect()} <= asked  # a filter: some have none
+    for f in (retrieval.rrf_hybrid, retrieval.merge_fused, retrieval.confidence, retrieval.jaccard, retrieval.rerank):
+        assert {r.query_id for r in f(spark, sf_dir).select("query_id").distinct().collect()} == asked, f.__name__
