@@ -23,8 +23,8 @@ from strandloom.session import cut_lineage
 
 #: Hashed features (words and pairs of words), rounds of expectation-maximization, labelled documents used at most.
 FEATURES, ROUNDS, MAX_LABELLED = 1 << 17, 6, 20_000
-#: Share of a document's sentences from which on a subject counts: more than a sixth, as one misread sentence in six is likelier than a true one.
-SHARE = 0.17
+#: Share of a document's sentences from which on a subject counts: just under a sixth, so that exactly one sentence in six counts.
+SHARE = 0.165
 #: Score of 'about nothing' in nats; weights below the least evidence say nothing; smoothing of sentence and document counts.
 NOTHING, LEAST, ALPHA_SENTENCE, ALPHA_DOCUMENT = 3.0, 0.5, 0.5, 1.0
 #: Share of a document from which on its subjects teach the document weights; odds of an unlabelled subject in a labelled one.
