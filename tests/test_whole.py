@@ -53,6 +53,12 @@ def test_taint_from_every_source(spark, sf_dir):
     assert {r.root for r in graphs.taint(spark, sf_dir).select("root").distinct().collect()} == {r for r in edges_of(sf_dir) if not r.endswith(".h")}
 
 
+def test_taint_goes_as_far_as_it_flows(spark, sf_dir):
+    out = edges_of(sf_dir)
+    want = {(r, b, n) for r in out for b, n in steps(out, r, blocked={x for x in out if x.endswith(".h")}).items()}
+    assert max(n for _, _, n in want) > 6 and {tuple(r) for r in graphs.taint(spark, sf_dir).select("root", "node", "hops").collect()} == want
+
+
 def test_scopes_from_near_to_far(spark):
     defs = spark.createDataFrame([(1, "a", 1, 1, 1), (2, "b", 2, 1, 1), (3, "b", 2, 1, 1), (4, "c", 9, 9, 1), (5, "d", 9, 9, 9), (6, "a", 2, 1, 1), (7, None, 1, 1, 1)], "def_id long, name string, file long, module long, crate long")
     uses = spark.createDataFrame([(i, n, 1, 1, 1) for i, n in enumerate("abcde")] + [(5, None, 1, 1, 1), (6, "c", None, None, 1)], "use_id long, name string, file long, module long, crate long")
