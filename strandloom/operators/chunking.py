@@ -52,7 +52,8 @@ def chunk_text(text: str, limit: int = 500) -> list[str]:
 
 
 def chunk_json(text: str, limit: int = 2000) -> list[str]:
-    """Objects by top-level key and arrays by item, packed up to the limit and written again; other text is one cut chunk."""
+    """Objects by top-level key and arrays by item, packed up to the limit and written again; of other text (no
+    readable JSON, or a text within JSON) the first ``limit`` characters are one chunk and the rest is dropped, as in the reference."""
     try:
         value = json.loads(text)
     except (ValueError, RecursionError):
