@@ -7,15 +7,19 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.functions.payloads import at_path, read_payload
+from strandloom.functions.payloads import leaves, read_payload
 from strandloom.operators.change_feed import apply_changes, last_copies
-from strandloom.operators.schema_drift import collect_renames, schema_changes
+from strandloom.operators.schema_drift import COUNTED, COUNTS, COUNTED_TYPES, canonical_names, changes_of, merged_counts, profile_read, with_names
+from strandloom.session import cut_lineage, stored
 
 OPS = {"activity_scheduled": "insert", "activity_started": "update", "activity_completed": "update", "activity_failed": "update", "activity_cancelled": "delete"}
 FIELDS = ("activity_id", "status", "attempt")
-_SCHEMA = "workflow_id string, version long, ingest_id long, op string, activity_id string, status string, attempt int"
+_EVENT = ("workflow_id", "version", "ingest_id", "feed", "event_type", "op", "fields")
+_READ_SQL = f"workflow_id string, version long, ingest_id long, op string, fields array<struct<path:string,text:string,num:int>>, {COUNTS}"
+_LEAF = pa.struct([("path", pa.string()), ("text", pa.string()), ("num", pa.int32())])
+_READ = pa.schema([("workflow_id", pa.string()), ("version", pa.int64()), ("ingest_id", pa.int64()), ("op", pa.string()), ("fields", pa.list_(_LEAF)), *((f.name, f.type) for f in COUNTED_TYPES)])
 _INT = re.compile(r"[+-]?\d+")
 
 
@@ -37,40 +41,74 @@ def as_int(value: object) -> int | None:
     return int(value)
 
 
-def activity_changes(events: DataFrame, names: dict[tuple[str, str], dict[str, str]]) -> DataFrame:
-    """Readable events as changes; other event types stay with a null op, as they may be the copy that counts."""
-    paths = {(feed, kind): {f: [f, *(p for p, first in own.items() if first == f)] for f in FIELDS} for (feed, kind), own in names.items()}
-    plain = {f: [f] for f in FIELDS}
+def read_events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_READ rows of (workflow_id, version, ingest_id, feed, file_no, schema_version, event_type, payload): one for each readable
+    event of a workflow, with the leaves of activity events as text and number, and the COUNTS of the activity events' fields."""
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wide(rows: list[tuple], counts: pa.RecordBatch | None = None) -> pa.RecordBatch:
+        n = len(rows) if counts is None else counts.num_rows
+        made = dict(zip(_EVENT, zip(*rows))) if rows else {}
+        columns = []
+        for f in _READ:
+            if counts is not None and f.name in counts.schema.names:
+                columns.append(counts.column(f.name))
+            else:
+                columns.append(pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=_READ)
+
+    def profiled() -> Iterator[pa.RecordBatch]:
+        """The events again, for the profile; what they are read as goes into ``out``."""
         for batch in batches:
-            out = []
-            for wf, version, ingest, feed, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if (value := read_payload(payload)) is None:
-                    continue
+            wf, version, ingest, *rest = (c.to_pylist() for c in batch.columns)
+            read = []
+            for i, (w, v, n, feed, kind, payload) in enumerate(zip(wf, version, ingest, rest[0], rest[3], rest[4])):
                 op = OPS.get(kind)
-                if op is None:
-                    out.append((wf, version, ingest, None, None, None, None))
+                value = read_payload(payload)
+                if op is not None:
+                    read.append((i, value))
+                if value is None or w is None or v is None:
                     continue
-                own = paths.get((feed, kind), plain)
-                key, status, attempt = (next((x for p in own[f] if (x := at_path(value, p)) is not None), None) for f in FIELDS)
-                out.append((wf, version, ingest, op, as_text(key), as_text(status), as_int(attempt)))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            columns = zip(*out) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["workflow_id", "version", "ingest_id", "op", "activity_id", "status", "attempt"])
+                fields = None if op is None else [{"path": p, "text": as_text(x), "num": as_int(x)} for p, x in leaves(value) if x is not None]
+                out.append((w, v, n, feed, kind, op, fields))
+            yield read, [rest[0], rest[1], rest[2], rest[3]]
+
+    out: list[tuple] = []
+    for counts in profile_read(profiled()):
+        if counts is None:
+            if len(out) >= 10_000:
+                yield wide(out)
+                out.clear()
+        else:
+            yield wide([], counts)
+    yield wide(out)
+
+
+def activity_changes(events: DataFrame, names: DataFrame) -> DataFrame:
+    """Readable events (as of read_events) as changes; other event types stay with a null op, as they may be the copy that counts.
+
+    A field is the leaf of its first name, else one that bears it under a later name (names: feed, event_type, path, first).
+    """
+    read = with_names(events.select(*_EVENT), names, "ingest_id")
+
+    def field(name: str, part: str) -> Column:
+        own = F.filter("fields", lambda f: f["path"] == name)
+        later = F.filter("fields", lambda f: F.element_at("names", f["path"]) == name)
+        return F.coalesce(F.get(own, 0), F.get(later, 0))[part].alias(name)
 
-    read = events.filter("workflow_id IS NOT NULL AND version IS NOT NULL")
-    return read.select("workflow_id", F.col("version").cast("bigint"), F.col("ingest_id").cast("bigint"), "feed", "event_type", "payload_json").mapInArrow(rows, _SCHEMA)
+    return read.select("workflow_id", "version", "ingest_id", "op", field("activity_id", "text"), field("status", "text"), field("attempt", "num"))
 
 
 def current_activities(events: DataFrame) -> DataFrame:
     """The current row of each activity that still exists: workflow_id, activity_id, status, attempt, version.
 
-    Field names come from the schema changes found by similarity flooding. Unreadable events and events with a null workflow
-    or version are ignored; of the copies of a (workflow_id, version) the last readable by ingest_id counts, whatever its
-    type; an activity event without an activity_id does nothing.
+    Field names come from the schema changes found by similarity flooding. Payloads are read once: events and counts of their
+    fields are kept as one table. Unreadable events and events with a null workflow or version are ignored; of the copies of a
+    (workflow_id, version) the last readable by ingest_id counts, whatever its type; an activity event without an activity_id
+    does nothing.
     """
-    activity = events.filter(F.col("event_type").isin(*OPS))
-    names = collect_renames(schema_changes(activity))
-    changes = last_copies(activity_changes(events, names), ["workflow_id", "version"], "ingest_id")
+    columns = ["workflow_id", F.col("version").cast("bigint"), F.col("ingest_id").cast("bigint"), "feed", F.col("file_no").cast("int"), F.col("schema_version").cast("int"), "event_type", "payload_json"]
+    read = stored(events.select(*columns).mapInArrow(read_events, _READ_SQL))
+    counts = cut_lineage(merged_counts(read.filter("n IS NOT NULL").select(*COUNTED)))
+    names = cut_lineage(canonical_names(changes_of(counts)).filter(F.col("first").isin(*FIELDS)))
+    changes = last_copies(activity_changes(read.filter("n IS NULL"), names), ["workflow_id", "version"], "ingest_id")
     return apply_changes(changes, "workflow_id", "activity_id", "version", "op", ["status", "attempt"]).select("workflow_id", "activity_id", "status", F.col("attempt").cast("int"), "version")

@@ -49,7 +49,7 @@ def apply_changes(changes: DataFrame, scope: str, key: str, order: str, op: str,
     within = W.partitionBy("_s", "_k", "_e").orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = ends.select("_s", "_k", "_c", F.max("_head").over(within).alias("_head"), F.max("_n").over(within).alias("_n"), *(F.last(x, ignorenulls=True).over(within).alias(x) for x in v))
     carried = ends.select("_s", "_k", "_c", *(F.lag(c).over(over).alias(f"{c}_in") for c in ("_head", "_n", *v))).filter(F.col("_head_in").isNotNull())
-    rows = rows.join(carried, ["_s", "_k", "_c"], "left")
+    rows = rows.join(carried.hint("merge"), ["_s", "_k", "_c"], "left")  # grows with long-lived keys, so it is never broadcast
 
     early = F.col("_e") == 0
     alive = F.coalesce(F.when(early, F.col("_head_in")).otherwise(F.col("_head")) != "delete", F.lit(False))

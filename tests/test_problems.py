@@ -5,11 +5,11 @@ import brute
 import pyarrow.parquet as pq
 import pytest
 
-from strandloom.operators.activities import activity_changes
+from strandloom.operators.activities import _READ_SQL, activity_changes, read_events
 from strandloom.operators.change_feed import apply_changes
 from strandloom.operators.intervals import busy_periods
 from strandloom.operators.references import orphans
-from strandloom.operators.schema_drift import canonical_names, schema_changes, similarity_flooding, unified_payloads
+from strandloom.operators.schema_drift import canonical_names, match_step, schema_changes, similarity_flooding, unified_payloads, with_names
 from strandloom.plans import problems
 
 
@@ -147,18 +147,46 @@ def test_p1_changes(spark):
     assert wide.filter("f_id like 'act-%'").count() == 13 and dict(wide.dtypes)["f_o__z"] == "boolean"
 
 
-def test_p1_names_and_flooding():
-    assert canonical_names([("f", 2, "e", "a", "b"), ("f", 5, "e", "b", "c"), ("f", 9, "e", "c", "a")]) == {("f", "e"): {"b": "a", "c": "a"}}
+def test_p1_names_and_flooding(spark):
+    changes = spark.createDataFrame([("f", 5, "e", "renamed", "b", "c"), ("f", 2, "e", "renamed", "a", "b"), ("f", 9, "e", "renamed", "c", "a"), ("f", 9, "e", "added", "q", ""), ("g", 1, "e", "renamed", "a", "z")], "feed string, file_no int, event_type string, change string, field string, detail string")
+    names = canonical_names(changes)
+    assert set(got(names)) == {("f", "e", "b", "a"), ("f", "e", "c", "a"), ("g", "e", "z", "a")} and got(canonical_names(changes.limit(0))) == []
     left, right = [("r", "holds", "a"), ("r", "holds", "b")], [("s", "holds", "x"), ("s", "holds", "y")]
     start = {("r", "s"): 1.0, ("a", "x"): 0.6, ("a", "y"): 0.5, ("b", "y"): 0.6, ("b", "x"): 0.1}
     end = similarity_flooding(start, left, right)
     assert end["a", "x"] > end["a", "y"] and end["b", "y"] > end["b", "x"]
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_p1_names_join(spark, monkeypatch, limit):
+    """Few names are broadcast, many shuffled with a copy for each part: the same rows."""
+    from strandloom.operators import schema_drift
+
+    monkeypatch.setattr(schema_drift, "BROADCAST_NAMES", limit)
+    events_ = spark.range(200).selectExpr("if(id % 3 = 0, 'hot', concat('f', id % 7)) feed", "'e' event_type", "id")
+    names = spark.createDataFrame([("hot", "e", "b", "a"), ("f1", "e", "c", "d"), ("f1", "x", "c", "d")], "feed string, event_type string, path string, first string")
+    rows_ = with_names(events_, names, "id").collect()
+    assert len(rows_) == 200 and all((r.names or {}) == {"hot": {"b": "a"}, "f1": {"c": "d"}}.get(r.feed, {}) for r in rows_)
+
+
+def test_p1_flooding_decides():
+    """Two comers have the same kind of values: by names alone one is taken, by what stands around it the other."""
+    old = {"e": {"box.ref": "string", "box.left": "number", "box.right": "number", "keep": "string"}}
+    new = {"e": {"crate.code": "string", "crate.left": "number", "crate.right": "number", "keep": "string", "xref": "string"}}
+    alike = lambda kind, what, a, b: 1.0
+    assert match_step(old, new, alike)["e", "box.ref"] == "crate.code"
+    names_only = lambda initial, left, right: {(x, y): initial.get((("name", "", x[2]), ("name", "", y[2])), 0.0) if x[0] == "field" else s for (x, y), s in initial.items()}
+    assert match_step(old, new, alike, flood=names_only)["e", "box.ref"] == "xref"
+    assert match_step(old, new, alike, flood=lambda initial, left, right: initial) == {}
+    assert match_step(old, new, lambda *_: 0.1) == {}
+
+
 def test_p5_types_under_other_names(spark):
     df = events(spark, [("f", 1, 1, "activity_scheduled", [{"task": ["a"], "status": ["s"], "attempt": "3 u"}, {"task": "b", "status": None, "attempt": True}])])
-    df = df.selectExpr("*", "'w' workflow_id", "ingest_id version")
-    got_ = {tuple(r[3:]) for r in activity_changes(df, {("f", "activity_scheduled"): {"task": "activity_id"}}).collect()}
+    df = df.selectExpr("'w' workflow_id", "ingest_id version", "ingest_id", "feed", "file_no", "schema_version", "event_type", "payload_json")
+    read = df.mapInArrow(read_events, _READ_SQL).filter("n IS NULL")
+    names = spark.createDataFrame([("f", "activity_scheduled", "task", "activity_id")], "feed string, event_type string, path string, first string")
+    got_ = {tuple(r[3:]) for r in activity_changes(read, names).collect()}
     assert got_ == {("insert", "a", "s", 3), ("insert", "b", None, None)}
 
 
