@@ -97,7 +97,7 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[int]:
     return out
 
 
-def pack_documents(counts: DataFrame, budgets: dict[str, int], shard: int = SHARD) -> DataFrame:
+def pack_documents(counts: DataFrame, budgets: dict[str, int], shard: int = SHARD, rows: int | None = None) -> DataFrame:
     """PACKED rows: each document of (doc_id, tokens) assigned to windows of each budget (name -> capacity).
 
     A document is split only if it alone exceeds the capacity: into full windows of its own and a rest that is packed like a
@@ -106,14 +106,15 @@ def pack_documents(counts: DataFrame, budgets: dict[str, int], shard: int = SHAR
 
     Documents fall into shards of about ``shard`` by a hash of their id, each packed by one task: bins, like texts, don't depend
     on other shards, and a shard adds less than one half-empty window. Ties go by doc_id, so a lost task repeats its result.
+    rows: how many rows ``counts`` has, where that is known without reading the texts; else it is counted.
     """
+    shards = max(1, math.ceil((counts.count() if rows is None else rows) / shard))
     counts = counts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
-    shards = max(1, math.ceil(counts.count() / shard))
     usable = {name: int(c) for name, c in sorted(budgets.items()) if c is not None and c >= 1}
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        at = int(rows["shard"].iloc[0])
-        docs = rows.sort_values("doc_id")
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        at = int(part["shard"].iloc[0])
+        docs = part.sort_values("doc_id")
         ids, sizes = docs["doc_id"].to_numpy(np.int64), docs["tokens"].fillna(0).to_numpy(np.int64)
         out = []
         for name, c in usable.items():
@@ -133,4 +134,4 @@ def pack_documents(counts: DataFrame, budgets: dict[str, int], shard: int = SHAR
 def context_windows(documents: DataFrame, context_budgets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Windows of each context budget (a table of a few rows) for the whole texts."""
     budgets = {r["budget_name"]: r["max_tokens"] for r in context_budgets.select("budget_name", "max_tokens").collect() if r["budget_name"] is not None}
-    return pack_documents(token_counts(documents, tokenizer), budgets)
+    return pack_documents(token_counts(documents, tokenizer), budgets, rows=documents.count())
