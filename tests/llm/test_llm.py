@@ -50,6 +50,7 @@ def test_p4_with_split_blocks(spark, block):
     df = spark.createDataFrame([(i, None if w is None else sorted(set(w)), "x") for i, w in data], "id long, words array<string>, key string")
     expected = brute_llm.near_pairs([(i, frozenset(w)) for i, w in data if i is not None and w])
     assert got(D.near_duplicate_pairs(df, block=block)) == expected
+    assert got(D.near_duplicate_pairs(df, block=block, limit=0)) == expected  # word numbers joined instead of broadcast
     assert got(D.near_duplicate_pairs(df.limit(0))) == set()
 
 
