@@ -39,8 +39,12 @@ FIRST, LAST = 1.3, 0.7
 _TAG = re.compile(r"<[^>\n]{1,200}>")
 _LEAD = re.compile(r"\s*(?:\[[^\]\n]{1,40}\]\s*|<[^>\n]{1,20}>\s*)*(?:(?://+|#+|\*+|[-+>•]+|\d{1,3}[.)])\s+)?(?:[a-z]{2,12}:\s+)?")
 _STOP = re.compile(r"(?<=[.!?])\s+")
-_TERMINAL = re.compile(r"[.!?][\"')\]»”]*$")
-_WORD = re.compile(r"[^\W_]+")
+_CLOSING = "\"')]»”"
+_TERMINAL = re.compile(rf"[.!?][{re.escape(_CLOSING)}]*$")
+_WORD, _DIGIT = re.compile(r"[^\W_]+"), re.compile(r"[0-9]")
+_APART = {i: " " for i in range(128) if not chr(i).isalnum()}
+#: What a line's lead (see _LEAD) can start with, besides a short name and a colon.
+_LEADS = frozenset("[</#*-+>•0123456789")
 _WORDS = "doc_id long, sizes array<int>, full array<boolean>, words array<int>"
 _PORTION = 1 << 20
 
@@ -48,11 +52,20 @@ _PORTION = 1 << 20
 def sentences(text: str) -> list[tuple[list[str], bool]]:
     """Words (without digits, case and accents) of each sentence or line, and whether it ends like a sentence."""
     out = []
-    for line in _TAG.sub("\n", fold_text(text)).split("\n"):
+    text = fold_text(text)
+    for line in (_TAG.sub("\n", text) if "<" in text else text).split("\n"):
         line = line.strip()
-        for part in _STOP.split(line[_LEAD.match(line).end() :]) if line else ():
-            if words := [w for w in _WORD.findall(part) if w.isalpha()]:
-                out.append((words, len(words) > 1 and bool(_TERMINAL.search(part.rstrip()))))
+        if not line:
+            continue
+        if line[0] in _LEADS or ":" in line[:14]:
+            line = line[_LEAD.match(line).end() :]
+        for part in _STOP.split(line):
+            words = part.translate(_APART).split() if part.isascii() else _WORD.findall(part)
+            if not (part.isascii() and _DIGIT.search(part) is None):
+                words = [w for w in words if w.isalpha()]
+            if words:
+                ends = len(words) > 1 and (last := part.rstrip()[-1:]) != "" and (last in ".!?" or last in _CLOSING and bool(_TERMINAL.search(part.rstrip())))
+                out.append((words, ends))
     return out
 
 
