@@ -13,14 +13,14 @@ def epoch_ms(text: Column) -> Column:
     """
     t = F.trim(text)
     shape = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?\s*(?:Z|z|UTC|([+-]\d{2}):?(\d{2}))?$"
-    part = lambda i: F.regexp_extract(t, shape, i)
-    clock = F.when(part(4) == "", F.lit("00:00:00")).otherwise(part(4))
-    zone = F.when(part(5) == "", F.lit("Z")).otherwise(F.concat(part(5), F.lit(":"), part(6)))
-    iso = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), clock, zone)
+    parts = F.split(F.regexp_replace(t, shape, "#$1-$2-$3#$4#$5:$6"), "#")  # one match; other texts stay without a first '#'
+    clock = F.when(parts[2] == "", F.lit("00:00:00")).otherwise(parts[2])
+    zone = F.when(parts[3] == ":", F.lit("Z")).otherwise(parts[3])
+    iso = F.concat(parts[1], F.lit(" "), clock, zone)
     digits = t.try_cast("bigint")
     return (
         F.when(t.rlike(r"^\d{1,17}$"), F.when(digits <= 100_000_000_000, digits * 1000).otherwise(digits))
-        .when(t.rlike(shape), F.unix_millis(iso.try_cast("timestamp")))
+        .when((F.size(parts) == 4) & (parts[0] == ""), F.unix_millis(iso.try_cast("timestamp")))
     )
 
 

@@ -2,61 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.functions.times import epoch_ms
+from strandloom.session import cut_lineage, numbered
 
-HOUR_MS = 3_600_000
 YEAR_2101_MS = 4_133_980_800_000
 
 
-def ranked(df: DataFrame, entity: str, order: str, chunk: int, name: str) -> DataFrame:
-    """``df`` with the 1-based rank of ``order`` within ``entity``, no entity being sorted as a whole.
-
-    Rows are ranked within (entity, order // chunk) and shifted by the number of rows in the entity's earlier chunks.
-    """
-    part = df.withColumn("_c", F.floor(F.col(order) / chunk))
-    sizes = part.groupBy(entity, "_c").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(entity).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    shift = sizes.select(entity, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    local = part.withColumn("_r", F.row_number().over(W.partitionBy(entity, "_c").orderBy(order)))
-    return local.join(shift, [entity, "_c"]).withColumn(name, F.col("_r") + F.col("_shift")).drop("_c", "_r", "_shift")
-
-
-def _paired(starts: Column, ends: Column, n: Column) -> Column:
-    """Periods from sorted starts and sorted ends: a cut before rank i where start i lies beyond end i - 1."""
-    cuts = F.filter(F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: F.get(starts, i) > F.get(ends, i - 1))
-    s = F.concat(F.slice(starts, 1, 1), F.transform(cuts, lambda i: F.get(starts, i)))
-    e = F.concat(F.transform(cuts, lambda i: F.get(ends, i - 1)), F.array(F.element_at(ends, -1)))
-    return F.arrays_zip(s.alias("start"), e.alias("end"))
-
-
-def busy_periods(spans: DataFrame, entity: str = "entity", start: str = "start", end: str = "end", chunk: int = HOUR_MS) -> DataFrame:
+def busy_periods(spans: DataFrame, entity: str = "entity", start: str = "start", end: str = "end") -> DataFrame:
     """(entity, kind, start, end): maximal ``period``s of the union of the spans, and the ``gap``s between an entity's periods.
 
     spans: bigint starts and ends in one unit; further columns are ignored. Spans that overlap or touch belong together. Spans
     with a null entity, start or end, and those whose end isn't later than the start, are left out. Repeated rows and ties
     change nothing; an empty table gives no rows.
 
-    Starts and ends are sorted independently; where the next-ranked start exceeds the current-ranked end lies a gap, and the
-    boundaries on both sides pair up to periods. This is done twice: first within (entity, chunk of the start), where at most
-    ``chunk`` distinct starts are left after a map-side maximum per start, then over the periods so found, with ranks made of
-    local ranks and chunk offsets, and joins on (entity, rank). So an entity that holds a third of all rows is spread out.
+    Of equal starts only the latest end is kept, then of equal ends the earliest start, on the map side first. Starts and ends
+    are then ranked independently over the whole table, by (entity, start) and by (entity, end): an entity has the same ranks in
+    both. A gap, or a new entity, lies where the next-ranked start exceeds the current-ranked end; the boundaries on both sides,
+    ranked again, pair up to periods. Ranks come from range partitions, so an entity with a third of all rows is spread out.
     """
     rows = spans.select(F.col(entity).alias("entity"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).filter("entity IS NOT NULL AND e > s")
-    rows = rows.groupBy("entity", "s").agg(F.max("e").alias("e")).withColumn("_c", F.floor(F.col("s") / chunk))
-    local = rows.groupBy("entity", "_c").agg(F.sort_array(F.collect_list("s")).alias("ss"), F.sort_array(F.collect_list("e")).alias("es"), F.count("*").cast("int").alias("n"))
-    parts = local.select("entity", F.explode(_paired(F.col("ss"), F.col("es"), F.col("n"))).alias("p")).select("entity", "p.start", "p.end").toDF("entity", "s", "e")
-
-    starts = ranked(parts.select("entity", "s"), "entity", "s", chunk, "r")
-    ends = ranked(parts.select("entity", "e"), "entity", "e", chunk, "r").select("entity", (F.col("r") + 1).alias("r"), F.col("e").alias("before"))
-    bounds = starts.join(ends, ["entity", "r"], "left").filter("before IS NULL OR s > before")
-    bounds = ranked(bounds.select("entity", "s", "before"), "entity", "s", chunk, "k")
-    after = bounds.select("entity", (F.col("k") - 1).alias("k"), F.col("before").alias("last"), F.col("s").alias("next"))
-    tops = parts.groupBy("entity").agg(F.max("e").alias("top"))
-    pairs = bounds.join(after, ["entity", "k"], "left").join(tops, "entity")
-    both = F.array(F.struct(F.lit("period").alias("kind"), F.col("s").alias("start"), F.coalesce("last", "top").alias("end")), F.struct(F.lit("gap").alias("kind"), F.col("last").alias("start"), F.col("next").alias("end")))
-    return pairs.select("entity", F.explode(both).alias("x")).select("entity", "x.kind", "x.start", "x.end").filter("start IS NOT NULL")
+    rows = rows.groupBy("entity", "s").agg(F.max("e").alias("e")).groupBy("entity", "e").agg(F.min("s").alias("s"))
+    rows = cut_lineage(rows)
+    starts = numbered(rows.select("entity", "s"), ["entity", "s"], "r")
+    ends = numbered(rows.select(F.col("entity").alias("whose"), "e"), ["whose", "e"], "r").select((F.col("r") + 1).alias("r"), "whose", F.col("e").alias("before"))
+    both = starts.join(ends, "r", "full_outer")  # before the first start there is no end, and after the last end no start
+    bounds = numbered(both.filter("whose IS NULL OR entity IS NULL OR entity <> whose OR s > before").select("r", "entity", "s", "whose", "before"), ["r"], "k")
+    after = bounds.select((F.col("k") - 1).alias("k"), F.col("entity").alias("next_entity"), F.col("s").alias("next"), F.col("before").alias("last"))
+    pairs = bounds.filter("entity IS NOT NULL").join(after, "k")
+    found = F.array(
+        F.struct(F.lit("period").alias("kind"), F.col("s").alias("start"), F.col("last").alias("end")),
+        F.when(F.col("next_entity") == F.col("entity"), F.struct(F.lit("gap").alias("kind"), F.col("last").alias("start"), F.col("next").alias("end"))),
+    )
+    return pairs.select("entity", F.explode(found).alias("x")).filter("x IS NOT NULL").select("entity", "x.kind", "x.start", "x.end")
 
 
 def target_key(name: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -40,6 +40,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df``, checkpointed, with the 0-based place of each row in ``order`` (total) over the whole table.
+
+    Rows are range-partitioned by a sample, so that no key is sorted in one task; only the partitions' sizes come to the driver.
+    """
+    at = F.monotonically_increasing_id()  # partition << 33, plus the row's place in it
+    rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    placed = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row a partition
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

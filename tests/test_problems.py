@@ -48,19 +48,34 @@ def test_p2_edges(spark):
     assert got(orphans(s.limit(0), t.limit(0), f.limit(0), d.limit(0))) == []
 
 
-def test_p2_ranges_and_salts(spark):
-    from strandloom.operators.references import orphan_references
-
-    parents = spark.range(400).selectExpr("concat('k', id) key", "id first", "array(id, id + 10) bounds")
-    refs = spark.range(3000).selectExpr("'t' ref_table", "cast(id as string) record_key", "if(id % 3 = 0, 'k7', concat('k', id % 500)) key", "id % 40 at")
-    found = set(got(orphan_references(refs, parents, range_keys=50, batch=100)))
+@pytest.mark.parametrize("range_turns", [7, 50, 10_000])
+def test_p2_ranges_and_salts(spark, range_turns):
+    """Many ranges, some of which cut through a key's turns; a key with a third of all references is met by several tasks."""
+    from strandloom.operators.references import DELETED, EVER, LATE, THERE, orphan_references
+
+    turns = spark.range(100).selectExpr("concat('k', id) key", "id").selectExpr("key", f"explode(array(named_struct('at', {EVER}L, 'state', {LATE}), named_struct('at', id, 'state', {THERE}), named_struct('at', id + 10, 'state', {DELETED}))) t").select("key", "t.at", "t.state")
+    hot = spark.range(200).selectExpr("'hot' key", f"if(id = 0, {EVER}L, id) at", f"if(id % 2 = 1, {THERE}, {DELETED}) state")
+    refs = spark.range(3000).selectExpr("'t' ref_table", "cast(id as string) record_key", "if(id % 3 = 0, 'hot', concat('k', id % 130)) key", "if(id % 11 = 0, null, id % 211) at")
+    found = set(got(orphan_references(refs, turns.unionByName(hot), range_turns=range_turns, batch=100)))
     expected = set()
     for i in range(3000):
-        k, at = (7 if i % 3 == 0 else i % 500), i % 40
-        why = "missing" if k >= 400 else "late" if at < k else "" if at < k + 10 else "deleted"
+        k, at = i % 130, None if i % 11 == 0 else i % 211
+        if i % 3 == 0:
+            why = "" if at is None or min(at, 199) % 2 == 1 else "deleted"
+        else:
+            why = "missing" if k >= 100 else "" if at is None else "late" if at < k else "" if at < k + 10 else "deleted"
         if why:
             expected.add(("t", str(i), why, at))
     assert found == expected
+    assert got(orphan_references(refs, turns.limit(0))) and got(orphan_references(refs.limit(0), turns)) == []
+
+
+def test_p2_one_path_indexed_very_often(spark):
+    """A hundred thousand turns of one path within a day lie in many ranges."""
+    files = spark.range(50_000).selectExpr("'a/b.c' path", "cast(id as double) indexed_at", "id + 0.5d deleted_at")
+    deps = spark.range(400).selectExpr("id dep_id", "'./a/b.c' target_path", "'call' dep_type", "id * 100 + if(id % 2 = 0, 0.2d, 0.7d) recorded_at")
+    none = spark.createDataFrame([], "id string, created_at string, updated_at string, status string, session_id string")
+    assert {int(r[1]) for r in got(orphans(none, none, files, deps))} == set(range(1, 400, 2))
 
 
 def test_p3_against_plain(spark, sf_dir):
@@ -69,11 +84,11 @@ def test_p3_against_plain(spark, sf_dir):
     assert set(found) == brute.periods((r["target_name"], r["started_at"], r["completed_at"]) for r in rows(sf_dir, "flash_transactions"))
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 1000])
-def test_p3_spans_across_chunks(spark, chunk):
+@pytest.mark.parametrize("seed", [1, 7])
+def test_p3_spans_of_a_hot_entity(spark, seed):
     import random
 
-    r = random.Random(chunk)
+    r = random.Random(seed)
     spans = [("hot" if r.random() < 0.5 else f"e{r.randrange(5)}", s := r.randrange(-50, 400), s + r.choice([0, 1, 3, 9, 120])) for _ in range(300)] + [(None, 1, 2), ("n", None, 5), ("n", 5, None)]
     df = spark.createDataFrame([(*x, "extra") for x in spans], "entity string, start long, end long, kind string")
     expected = set()
@@ -84,7 +99,7 @@ def test_p3_spans_across_chunks(spark, chunk):
                 merged.append([s, t])
             merged[-1][1] = max(merged[-1][1], t)
         expected |= {(e, "period", *m) for m in merged} | {(e, "gap", a[1], b[0]) for a, b in zip(merged, merged[1:])}
-    assert set(got(busy_periods(df, chunk=chunk))) == expected
+    assert set(got(busy_periods(df))) == expected
     assert got(busy_periods(df.limit(0))) == []
 
 
