@@ -16,17 +16,20 @@ from strandloom.session import cut_lineage, stored
 
 OPS = {"activity_scheduled": "insert", "activity_started": "update", "activity_completed": "update", "activity_failed": "update", "activity_cancelled": "delete"}
 FIELDS = ("activity_id", "status", "attempt")
-_EVENT = ("workflow_id", "version", "ingest_id", "feed", "event_type", "op", "fields")
+_EVENT = ("workflow_id", "version", "ingest_id", "feed", "event_type", "op")
 _READ_SQL = f"workflow_id string, version long, ingest_id long, op string, fields array<struct<path:string,text:string,num:int>>, {COUNTS}"
 _LEAF = pa.struct([("path", pa.string()), ("text", pa.string()), ("num", pa.int32())])
 _READ = pa.schema([("workflow_id", pa.string()), ("version", pa.int64()), ("ingest_id", pa.int64()), ("op", pa.string()), ("fields", pa.list_(_LEAF)), *((f.name, f.type) for f in COUNTED_TYPES)])
+_STARTS = frozenset("+-0123456789 \t")
 _INT = re.compile(r"[+-]?\d+")
 
 
 def as_text(value: object) -> str | None:
     if isinstance(value, list):
         value = value[0] if len(value) == 1 else json.dumps(value) if value else None
-    return value if value is None or isinstance(value, str) else json.dumps(value)
+    if value is None or isinstance(value, str):
+        return value
+    return str(value) if type(value) is int else json.dumps(value)
 
 
 def as_int(value: object) -> int | None:
@@ -34,7 +37,7 @@ def as_int(value: object) -> int | None:
     if isinstance(value, list):
         value = value[0] if len(value) == 1 else None
     if isinstance(value, str):
-        found = _INT.match(value.strip())
+        found = _INT.match(value.strip()) if value[:1] in _STARTS else None
         value = int(found.group()) if found else None
     if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or abs(value) >= 2**31:
         return None
@@ -45,42 +48,53 @@ def read_events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_READ rows of (workflow_id, version, ingest_id, feed, file_no, schema_version, event_type, payload): one for each readable
     event of a workflow, with the leaves of activity events as text and number, and the COUNTS of the activity events' fields."""
 
-    def wide(rows: list[tuple], counts: pa.RecordBatch | None = None) -> pa.RecordBatch:
-        n = len(rows) if counts is None else counts.num_rows
-        made = dict(zip(_EVENT, zip(*rows))) if rows else {}
-        columns = []
-        for f in _READ:
-            if counts is not None and f.name in counts.schema.names:
-                columns.append(counts.column(f.name))
-            else:
-                columns.append(pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type))
-        return pa.RecordBatch.from_arrays(columns, schema=_READ)
-
-    def profiled() -> Iterator[pa.RecordBatch]:
-        """The events again, for the profile; what they are read as goes into ``out``."""
+    held: dict[str, list] = {c: [] for c in _EVENT}
+    ends, paths, texts, numbers = [0], [], [], []
+
+    def wide(made: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in _READ], schema=_READ)
+
+    def events() -> pa.RecordBatch:
+        made = {c: pa.array(x, _READ.field(c).type) for c, x in held.items()}
+        leaf = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array(numbers, pa.int32())], fields=list(_LEAF))
+        made["fields"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf)
+        out = wide(made, len(held["workflow_id"]))
+        for x in (*held.values(), paths, texts, numbers):
+            x.clear()
+        ends[:] = [0]
+        return out
+
+    def profiled() -> Iterator[tuple[list, list[list]]]:
+        """The activity events for the profile; on the way, what every event is read as goes into ``held``."""
+        add = [held[c].append for c in _EVENT]
         for batch in batches:
-            wf, version, ingest, *rest = (c.to_pylist() for c in batch.columns)
+            wf, version, ingest, *keys, payloads = (c.to_pylist() for c in batch.columns)
             read = []
-            for i, (w, v, n, feed, kind, payload) in enumerate(zip(wf, version, ingest, rest[0], rest[3], rest[4])):
+            for i, (w, v, n, feed, kind, payload) in enumerate(zip(wf, version, ingest, keys[0], keys[3], payloads)):
                 op = OPS.get(kind)
                 value = read_payload(payload)
+                fields = None
                 if op is not None:
-                    read.append((i, value))
+                    fields = None if value is None else list(leaves(value))
+                    read.append((i, fields))
                 if value is None or w is None or v is None:
                     continue
-                fields = None if op is None else [{"path": p, "text": as_text(x), "num": as_int(x)} for p, x in leaves(value) if x is not None]
-                out.append((w, v, n, feed, kind, op, fields))
-            yield read, [rest[0], rest[1], rest[2], rest[3]]
+                for put, x in zip(add, (w, v, n, feed, kind, op)):
+                    put(x)
+                for path, x in fields or ():
+                    if x is not None:
+                        paths.append(path)
+                        texts.append(as_text(x))
+                        numbers.append(as_int(x))
+                ends.append(len(paths))
+            yield read, keys
 
-    out: list[tuple] = []
     for counts in profile_read(profiled()):
-        if counts is None:
-            if len(out) >= 10_000:
-                yield wide(out)
-                out.clear()
-        else:
-            yield wide([], counts)
-    yield wide(out)
+        if counts is not None:
+            yield wide(dict(zip(counts.schema.names, counts.columns)), counts.num_rows)
+        if len(ends) > 10_000:
+            yield events()
+    yield events()
 
 
 def activity_changes(events: DataFrame, names: DataFrame) -> DataFrame:
@@ -88,7 +102,7 @@ def activity_changes(events: DataFrame, names: DataFrame) -> DataFrame:
 
     A field is the leaf of its first name, else one that bears it under a later name (names: feed, event_type, path, first).
     """
-    read = with_names(events.select(*_EVENT), names, "ingest_id")
+    read = with_names(events.select(*_EVENT, "fields"), names, "ingest_id")
 
     def field(name: str, part: str) -> Column:
         own = F.filter("fields", lambda f: f["path"] == name)

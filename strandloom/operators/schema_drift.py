@@ -60,18 +60,19 @@ def _weigh(value: object) -> tuple[str, float | None]:
 def profile_partitions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold rows (feed, file_no, schema_version, event_type, payload) into COUNTS rows."""
 
-    def read() -> Iterator[tuple[list[tuple[int, dict | None]], list[list]]]:
+    def read() -> Iterator[tuple[list, list[list]]]:
         for batch in batches:
             *keys, payloads = (c.to_pylist() for c in batch.columns)
-            yield [(i, read_payload(p)) for i, p in enumerate(payloads)], keys
+            values = map(read_payload, payloads)
+            yield [(i, None if v is None else list(leaves(v))) for i, v in enumerate(values)], keys
 
     return (out for out in profile_read(read()) if out is not None)
 
 
-def profile_read(batches: Iterable[tuple[list[tuple[int, dict | None]], list[list]]]) -> Iterator[pa.RecordBatch | None]:
+def profile_read(batches: Iterable[tuple[list, list[list]]]) -> Iterator[pa.RecordBatch | None]:
     """Fold payloads that were read already into COUNTS rows; None after each batch that gives none yet.
 
-    batches: (row, value or None) of the payloads that count, and the columns feed, file_no, schema_version and event_type.
+    batches: (row, leaves or None where it can't be read) of the payloads that count, and the columns feed, file_no, schema_version and event_type.
     file_no >= 0: a shape; path null marks the file's schema version, path '' the event type's readable rows. file_no = -1: a
     value profile, with the signature's bucket, or bucket -1 for the moments.
     """
@@ -93,15 +94,15 @@ def profile_read(batches: Iterable[tuple[list[tuple[int, dict | None]], list[lis
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, COUNTED_TYPES)], names=list(COUNTED))
 
     for values, (feeds, files, versions, kinds) in batches:
-        for i, value in values:
+        for i, fields in values:
             feed, file_no, version, kind = feeds[i], files[i], versions[i], kinds[i]
             if feed is None or file_no is None or version is None:
                 continue
             shapes[feed, file_no, version, None, None, None] += 1
-            if kind is None or value is None:
+            if kind is None or fields is None:
                 continue
             shapes[feed, file_no, version, kind, "", None] += 1
-            for path, leaf in leaves(value):
+            for path, leaf in fields:
                 what = field_type(leaf)
                 shapes[feed, file_no, version, kind, path, what] += 1
                 if what is None:
