@@ -105,6 +105,21 @@ def term_score(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     return in_blocks(queries, search)
 
 
+def token_overlap(chunks: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key, jaccard, overlap) of the token sets of queries and texts that share a token: counted over postings of the
+    queries' tokens, not by setting each query against each text. overlap is the share of the query's tokens."""
+    sets = chunks.select(key, F.array_distinct(tokens(F.col(text))).alias("w"))
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q"))
+
+    def search(part: DataFrame) -> DataFrame:
+        terms = part.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("term"))
+        posted = sets.select(key, F.size("w").alias("nw"), F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+        both = posted.join(small(terms), "term").groupBy("query_id", key).agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nw").alias("nw"))
+        return both.select("query_id", key, F.round(F.col("n") / (F.col("nq") + F.col("nw") - F.col("n")), 6).alias("jaccard"), F.round(F.col("n") / F.col("nq"), 6).alias("overlap"))
+
+    return in_blocks(asked, search)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -115,8 +130,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000) -> DataFrame:
-    """(query_id, key, score, rank): exact nearest vectors by cosine, without the query itself.
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000, metric: str = "cosine") -> DataFrame:
+    """(query_id, key, score, rank): exact nearest vectors by cosine, or (``metric`` 'l2') by distance, without the query itself.
 
     queries: (query_id, query_vector), cut into blocks of at most ``block`` rows that are broadcast as one matrix. Each Arrow
     batch of the table is multiplied with a block and keeps the best k per query (and ties with the last), so that only those
@@ -126,13 +141,15 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
     kind = dict(vectors.dtypes)[key]
     n = max(1, -(-queries.count() // block))
     found = None
+    near = metric == "l2"
+    shaped = (lambda rows: rows) if near else _unit
     for i in range(n):
         part = (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries).select(F.col("query_id").cast("bigint"), "query_vector").collect()
         by_size: dict[int, list] = {}
         for q, v in part:
             if q is not None and v is not None and any(v):
                 by_size.setdefault(len(v), []).append((q, v))
-        held = spark.sparkContext.broadcast({size: (np.array([q for q, _ in rows], np.int64), _unit(np.array([v for _, v in rows], np.float64))) for size, rows in by_size.items()})
+        held = spark.sparkContext.broadcast({size: (np.array([q for q, _ in rows], np.int64), shaped(np.array([v for _, v in rows], np.float64))) for size, rows in by_size.items()})
 
         def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -145,8 +162,11 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
                     at = pa.array(rows)
                     keys = np.asarray(batch.column(0).take(at))
                     flat = np.asarray(batch.column(1).take(at).flatten().cast(pa.float64()).fill_null(0)).reshape(len(rows), size)
-                    score = np.round(_unit(flat) @ matrix.T, 6)
-                    score[~flat.any(1)] = -np.inf
+                    if near:
+                        score = -np.round(_distances(flat, matrix), 6)
+                    else:
+                        score = np.round(_unit(flat) @ matrix.T, 6)
+                        score[~flat.any(1)] = -np.inf
                     score[keys[:, None] == ids[None, :]] = -np.inf
                     least = np.partition(score, max(0, len(rows) - k), axis=0)[max(0, len(rows) - k)]
                     r, q = np.nonzero((score >= least) & (score > -np.inf))
@@ -156,10 +176,16 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
 
         sims = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(search, f"query_id long, {key} {kind}, score double")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
+        best = best.withColumn("score", -F.col("score")) if near else best
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows, one query at a time: exact also for near ones."""
+    return np.stack([np.sqrt(((a - q) ** 2).sum(1)) for q in b], 1)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
