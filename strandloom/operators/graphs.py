@@ -18,46 +18,64 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 1_000, blocked: DataFrame | None = None) -> DataFrame:
-    """(root, node, hops): nodes within ``depth`` steps of each root, with the least number of steps; the root itself only by a
-    cycle. roots: (root). Nodes in ``blocked`` (node) are reached, but not passed."""
+class Grown:
+    """Rows that only grow, kept as few checkpointed parts: two are merged where the later has at least half the rows of the
+    earlier, so that each row is written about once for every doubling, and a plan over all parts stays small."""
+
+    def __init__(self):
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.parts.append((rows, n))
+        while len(self.parts) > 1 and self.parts[-2][1] <= 2 * self.parts[-1][1]:
+            (b, m), (a, k) = self.parts.pop(), self.parts.pop()
+            self.parts.append((cut_lineage(a.unionByName(b)), k + m))
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][0]
+        for rows, _ in self.parts[1:]:
+            out = out.unionByName(rows)
+        return out
+
+
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """(root, node, hops): nodes reached from each root (within ``depth`` steps, if given), with the least number of steps; the root
+    itself only by a cycle. roots: (root). Nodes in ``blocked`` (node) are reached, but not passed."""
     step = clean_edges(edges)
     if blocked is not None:
         step = cut_lineage(step.join(blocked.select(F.col("node").alias("src")), "src", "left_anti"))
     frontier = cut_lineage(roots.select("root", F.col("root").alias("src")).distinct())
-    found = None
-    for hops in range(1, depth + 1):
+    found, hops = Grown(), 0
+    while depth is None or hops < depth:
+        hops += 1
         new = frontier.join(step, "src").select("root", F.col("dst").alias("node")).distinct()
-        if found is not None:
-            new = new.join(found.select("root", "node"), ["root", "node"], "left_anti")
-        new = cut_lineage(new)
-        if new.isEmpty():
+        if found.parts:
+            new = new.join(found.all().select("root", "node"), ["root", "node"], "left_anti")
+        new = cut_lineage(new.withColumn("hops", F.lit(hops).cast("bigint")))
+        if not (n := new.count()):
             break
-        part = new.withColumn("hops", F.lit(hops).cast("bigint"))
-        found = part if found is None else cut_lineage(found.unionByName(part))
+        found.add(new, n)
         frontier = new.select("root", F.col("node").alias("src"))
-    if found is None:
+    if not found.parts:
         return roots.limit(0).select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("hops"))
-    return found
+    return found.all()
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int = 1_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, path): a shortest path to each node other than the root, the first by the order of its nodes; nodes as text."""
     step = clean_edges(edges)
-    frontier = cut_lineage(roots.select("root", F.col("root").alias("src"), F.col("root").cast("string").alias("path")).distinct())
-    seen = found = frontier.select("root", F.col("src").alias("node"), "path")
-    for _ in range(depth):
+    new = cut_lineage(roots.select("root", F.col("root").alias("node"), F.col("root").cast("string").alias("path")).distinct())
+    found = Grown()
+    while n := new.count():
+        found.add(new, n)
         longer = F.concat("path", F.lit(STEP), F.col("dst").cast("string"))
-        new = frontier.join(step, "src").groupBy("root", F.col("dst").alias("node")).agg(F.min(longer).alias("path"))
-        new = cut_lineage(new.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        found = seen = cut_lineage(seen.unionByName(new))
-        frontier = new.select("root", F.col("node").alias("src"), "path")
-    return found.filter(F.col("path").contains(STEP)).select("root", "node", F.regexp_replace("path", STEP, " > ").alias("path"))
+        nxt = new.withColumnRenamed("node", "src").join(step, "src").groupBy("root", F.col("dst").alias("node")).agg(F.min(longer).alias("path"))
+        new = cut_lineage(nxt.join(found.all().select("root", "node"), ["root", "node"], "left_anti"))
+    all_ = found.all() if found.parts else new
+    return all_.filter(F.col("path").contains(STEP)).select("root", "node", F.regexp_replace("path", STEP, " > ").alias("path"))
 
 
-def levels(edges: DataFrame, cost: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame, cost: DataFrame | None = None) -> DataFrame:
     """(node, level, total): wave of each node of src -> dst ('src depends on dst'), 0 without dependencies, else one more than
     the highest of its dependencies; total is the dearest chain of costs down to it, itself included. Nodes on or behind a cycle
     have a null level. cost: (node, cost), missing costs count 1."""
@@ -69,16 +87,17 @@ def levels(edges: DataFrame, cost: DataFrame | None = None, rounds: int = 10_000
         nodes = nodes.withColumn("cost", F.lit(1.0))
     need = step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
     state = cut_lineage(nodes.join(need, "node", "left").select("node", "cost", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0.0).alias("below")))
-    done = None
-    for level in range(rounds):
+    done, level = Grown(), 0
+    while True:
         ready = cut_lineage(state.filter("need = 0").select("node", F.lit(level).cast("bigint").alias("level"), (F.col("cost") + F.col("below")).alias("total")))
-        if ready.isEmpty():
+        if not (n := ready.count()):
             break
-        done = ready if done is None else cut_lineage(done.unionByName(ready))
+        done.add(ready, n)
         met = step.join(ready.select(F.col("node").alias("dst"), "total"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"), F.max("total").alias("top"))
         state = cut_lineage(state.filter("need > 0").join(met, "node", "left").select("node", "cost", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("below", F.coalesce("top", F.lit(0.0))).alias("below")))
+        level += 1
     stuck = state.select("node", F.lit(None).cast("bigint").alias("level"), F.lit(None).cast("double").alias("total"))
-    return stuck if done is None else done.unionByName(stuck)
+    return stuck if not done.parts else done.all().unionByName(stuck)
 
 
 def _forward_least(nodes: DataFrame, step: DataFrame) -> DataFrame:
@@ -117,13 +136,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
         color = _forward_least(nodes, step)
         inner = step.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").filter("cs = cd")
         inner = cut_lineage(inner.select("src", "dst", F.col("cs").alias("color")))
-        back = frontier = cut_lineage(color.filter("node = color"))
+        frontier = cut_lineage(color.filter("node = color"))
+        found = Grown()
+        found.add(frontier, frontier.count())
         while True:
             new = frontier.select(F.col("node").alias("dst"), "color").join(inner, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
-            frontier = cut_lineage(new.join(back, ["node", "color"], "left_anti"))
-            if frontier.isEmpty():
+            frontier = cut_lineage(new.join(found.all(), ["node", "color"], "left_anti"))
+            if not (n := frontier.count()):
                 break
-            back = cut_lineage(back.unionByName(frontier))
+            found.add(frontier, n)
+        back = found.all()
         part = back.select("node", F.col("color").alias("component"))
         done = part if done is None else cut_lineage(done.unionByName(part))
         nodes = cut_lineage(nodes.join(back.select("node"), "node", "left_anti"))
@@ -147,10 +169,27 @@ def weakest_cycle_edges(edges: DataFrame, components: DataFrame, weight: str) ->
 
 def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str, start: str, end: str, ident: str) -> DataFrame:
     """points with ``owner``: the innermost span [start, end) of the group that holds the point (latest start, then greatest
-    ident); null without any. Spans of a group are joined by equality on it, then by range."""
-    held = spans.select(group, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_id"))
-    hit = points.join(held, (points[group] == held[group]) & (F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e")), "left").drop(held[group])
-    return hit.groupBy(*points.columns).agg(F.max(F.struct("_s", "_id"))["_id"].alias("owner"))
+    ident); null without any. Spans nest (no two cross), as definitions in a file do.
+
+    One sweep instead of a range join: of the ends of the elementary pieces between span bounds each knows its innermost span,
+    and a point takes that of the last bound before it. Spans of one depth don't overlap, so the sweep is a running value.
+    """
+    s = spans.select(F.col(group).alias("_g"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_id")).filter("_g IS NOT NULL AND _s < _e")
+    opens = s.select("_g", F.col("_s").alias("_at"), F.lit(1).alias("_d"), "_s", "_e", "_id")
+    closes = s.select("_g", F.col("_e").alias("_at"), F.lit(-1).alias("_d"), "_s", "_e", "_id")
+    # order at one instant: closes, inner first; then opens, outer first; a point comes after both
+    order = ["_at", "_d", F.when(F.col("_d") < 0, -F.col("_s")).otherwise(-F.col("_e")), F.when(F.col("_d") < 0, -F.col("_id")).otherwise(F.col("_id"))]
+    run = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    depth = opens.unionByName(closes).withColumn("_depth", F.sum("_d").over(run) + F.when(F.col("_d") < 0, 1).otherwise(0))
+    # after a close the span one level up holds again: the last opened at that depth
+    level = W.partitionBy("_g", "_l").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    opened = depth.withColumn("_l", F.when(F.col("_d") > 0, F.col("_depth")).otherwise(F.col("_depth") - 1))
+    opened = opened.withColumn("_top", F.last(F.when(F.col("_d") > 0, F.struct("_s", "_id")), ignorenulls=True).over(level))
+    marks = opened.select("_g", "_at", F.lit(0).alias("_p"), "_d", F.when(F.col("_l") > 0, F.col("_top")["_id"]).alias("_owner"), F.row_number().over(W.partitionBy("_g").orderBy(*order)).alias("_n"))
+    last = marks.groupBy("_g", "_at").agg(F.max_by(F.struct("_owner"), "_n")["_owner"].alias("_owner"))
+    both = points.select("*", F.col(group).alias("_g"), F.col(at).alias("_at"), F.lit(1).alias("_p"), F.lit(None).alias("_o")).unionByName(last.select("_g", "_at", F.lit(0).alias("_p"), F.struct("_owner").alias("_o")), allowMissingColumns=True)
+    held = F.last("_o", ignorenulls=True).over(W.partitionBy("_g").orderBy("_at", "_p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return both.withColumn("owner", held["_owner"]).filter("_p = 1").drop("_g", "_at", "_p", "_o")
 
 
 def resolved(uses: DataFrame, definitions: DataFrame, name: str, scopes: list[tuple[str, str | None, str | None]]) -> DataFrame:
@@ -187,12 +226,10 @@ def edit_kinds(old: DataFrame, new: DataFrame, parent: str, kind: str, order: st
     return both.select(parent, kind, F.col("_n").cast("bigint").alias("ordinal"), "old_name", "new_name", edit.alias("edit")).filter("edit IS NOT NULL")
 
 
-def merkle_root(rows: DataFrame, group: list[str], place: str, digest: str, rounds: int = 64) -> DataFrame:
+def merkle_root(rows: DataFrame, group: list[str], place: str, digest: str) -> DataFrame:
     """(group, root): pairwise SHA-256 of the hex digests in order of place (0, 1, ...), an odd last one paired with itself."""
     level = cut_lineage(rows.select(*group, F.col(place).alias("_p"), F.col(digest).alias("_d")))
-    for _ in range(rounds):
-        if level.filter("_p > 0").isEmpty():
-            break
+    while not level.filter("_p > 0").isEmpty():
         many = level.groupBy(*group, F.floor(F.col("_p") / 2).alias("_q")).agg(F.min_by("_d", "_p").alias("a"), F.max_by("_d", "_p").alias("b"), F.max("_p").alias("top"))
         alone = F.max("top").over(W.partitionBy(*group)) == 0  # a finished group stays
         level = cut_lineage(many.select(*group, F.col("_q").alias("_p"), F.when(alone, F.col("a")).otherwise(F.sha2(F.concat("a", "b"), 256)).alias("_d")))

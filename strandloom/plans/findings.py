@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import findings as N, frames as C, retrieval as R
-from strandloom.plans.retrieval import searches
+from strandloom.plans.retrieval import _ASKED, searches
 from strandloom.session import table
 
 RULES = [("todo", "open point|Open point", "low"), ("fault", "fault handler|frame", "high"), ("leak", "leaks a secret|expired credential", "critical"), ("hash", "0x[0-9A-F]{5}", "info")]
@@ -221,8 +221,10 @@ SELECT part, rule, round(least(0.35::DOUBLE * w + 0.25::DOUBLE * CASE rule WHEN
     "pgn_shares": "SELECT (((event_id * 2654435761) % 536870912) >> 8) & 63 AS pgn, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1",
     "frame_filter": "SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 AND user_id BETWEEN 5 AND 60 ORDER BY ts DESC, event_id DESC LIMIT 100",
     "log_parse": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_id::VARCHAR END AS time, CASE WHEN event_id % 5 > 0 THEN upper(event_type) ELSE 'INFO' END AS level, CASE WHEN event_id % 5 > 0 THEN 'u' || user_id ELSE 'unknown' END AS source, CASE WHEN event_id % 5 > 0 THEN 'value ' || event_id ELSE 'raw ' || event_type END AS message FROM events",
-    "schema_score": """WITH q AS (SELECT * FROM (VALUES (1::BIGINT, ['flash', 'sector', 'erase']), (2, ['uart', 'driver', 'stack'])) t(query_id, terms)), s AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(coalesce(text, '')), t) THEN 1.0::DOUBLE ELSE 0 END))
-+ CASE WHEN contains(lower(coalesce(text, '')), 'register') THEN 4 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), 'driver') THEN 3 ELSE 0 END + CASE WHEN doc_type = 'page' THEN 0.5::DOUBLE ELSE 0 END AS score FROM documents, q)
+    "schema_score": f"""WITH {_ASKED}, terms AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(query, '[a-z0-9_]+'))) AS t FROM asked),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN contains(lower(coalesce(text, '')), 'register') THEN 4 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), 'driver') THEN 3 ELSE 0 END + CASE WHEN doc_type = 'page' THEN 0.5::DOUBLE ELSE 0 END AS bonus FROM documents),
+holds AS (SELECT doc_id, t FROM d, (SELECT DISTINCT t FROM terms) WHERE contains(low, t)), n AS (SELECT query_id, doc_id, count(*) AS n FROM holds JOIN terms USING (t) GROUP BY 1, 2),
+s AS (SELECT q.query_id, d.doc_id, bonus + coalesce(n.n, 0) AS score FROM (SELECT DISTINCT query_id FROM asked) q JOIN d ON d.doc_id <> q.query_id LEFT JOIN n ON n.query_id = q.query_id AND n.doc_id = d.doc_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
     "symptom_hypotheses": """WITH x AS (SELECT DISTINCT exp_id, coalesce(last_error, '') AS e, lower(coalesce(response_preview, '')) AS c FROM experience), p AS (SELECT * FROM (VALUES ('overflow', 'overflow'), ('desync', 'timing'), ('refusal of', 'memory')) t(pattern, cause))
 SELECT exp_id, cause, round(max(0.5::DOUBLE + CASE WHEN contains(c, cause) THEN 0.3 ELSE 0 END + CASE WHEN contains(c, 'bounds') OR contains(c, 'range check') THEN 0.2 ELSE 0 END), 6) AS score FROM x JOIN p ON contains(e, pattern) GROUP BY 1, 2""",
