@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.plans.logs import SQL as _LOGS
 from strandloom.streaming import ops as S
 
 
@@ -12,8 +13,15 @@ def stream_exactly_once(spark, d):
     return S.drained(e.select("user_id", "event_type"), "once")
 
 
+def _events(spark, d, order="event_id"):
+    """Events in five files, and a last one of no user long after, that closes windows and open batches."""
+    closing = {"event_id": F.lit(-1), "ts": F.lit("2100-01-01 00:00:00"), "user_id": F.lit(-1), "event_type": F.lit("end")}
+    return S.in_turns(spark, d, "events", order, 5, closing)
+
+
 def stream_count_flush(spark, d):
-    return S.drained(S.count_flush(S.read_table(spark, d, "events"), "user_id", "event_id", "event_type", 10), "flush")
+    out = S.drained(S.count_flush(_events(spark, d), "user_id", "event_id", "event_type", "ts", 10, "60 days"), "flush")
+    return out.filter("user_id >= 0")
 
 
 def stream_rate_limit(spark, d):
@@ -21,13 +29,14 @@ def stream_rate_limit(spark, d):
 
 
 def stream_windows(spark, d):
-    """Windows a stream has finished: those a day before the last event."""
-    w = S.drained(S.tumbling_counts(S.read_table(spark, d, "events"), "ts", "event_type", "value", "1 hour", "1 day"), "windows")
-    return w.select(F.col("start").alias("start_ts"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Counts and sums per hour and type, each once it is final."""
+    w = S.drained(S.tumbling_counts(_events(spark, d, "ts"), "ts", "event_type", "value", "1 hour", "1 day"), "windows")
+    return w.filter("event_type <> 'end'").select(F.col("start").alias("start_ts"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (stream_exactly_once, stream_count_flush, stream_rate_limit, stream_windows)}
 SQL = {
     "stream_exactly_once": "SELECT DISTINCT user_id, event_type FROM events",
-    "stream_count_flush": "SELECT user_id, (o // 10)::BIGINT AS batch, count(*) AS n, string_agg(event_type, ' ' ORDER BY event_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS o FROM events) GROUP BY 1, 2 HAVING count(*) = 10",
+    "stream_count_flush": "SELECT user_id, (o // 10)::BIGINT AS batch, count(*) AS n, string_agg(event_type, ' ' ORDER BY event_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS o FROM events) GROUP BY 1, 2",
+    "stream_windows": _LOGS["tumbling_windows"],
 }

@@ -6,9 +6,9 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandloom.session import ensure_checkpoint_dir
+from strandloom.session import cut_lineage, ensure_checkpoint_dir
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -19,6 +19,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def in_turns(spark: SparkSession, sf_dir: str, name: str, order: str, batches: int, closing: dict[str, Column] | None = None) -> DataFrame:
+    """A table as a stream of ``batches`` files in ``order``, one a micro-batch, written to the shared folder first.
+
+    closing: values (column -> constant) of one last row in a file of its own, which closes what waits for later rows: give it a
+    time beyond every watermark. It is the caller's to leave it out of the result.
+    """
+    import uuid
+
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    files = cut_lineage(rows.repartitionByRange(batches, order).sortWithinPartitions(order).withColumn("_turn", F.spark_partition_id()))
+    for turn in range(batches):  # one after the other, as files are taken by their age
+        files.filter(F.col("_turn") == turn).drop("_turn").write.parquet(f"{base}/_turn={turn}")
+    if closing is not None:
+        last = spark.range(1).select(*(closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+        last.coalesce(1).write.parquet(f"{base}/_turn={batches}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{base}/_turn=*")
+
+
 def tumbling_counts(stream: DataFrame, time: str, key: str, value: str, width: str, late: str) -> DataFrame:
     """(start, key, n, total) per window, final once the watermark has passed it."""
     w = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
@@ -35,27 +54,36 @@ def exactly_once(stream: DataFrame, keys: list[str], time: str, late: str) -> Da
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def count_flush(stream: DataFrame, key: str, order: str, text: str, size: int) -> DataFrame:
+def count_flush(stream: DataFrame, key: str, order: str, text: str, time: str, size: int, late: str = "1 day") -> DataFrame:
     """(key, batch, n, text): tokens of a key joined in batches of ``size``, in order of arrival and, within a trigger, ``order``.
 
-    State is the open batch of a key. Batches of fewer tokens stay in the state; the batch twin is the query count_flush.
+    State is the open batch of a key. It is flushed with fewer tokens once the watermark (``late`` behind the latest ``time``) has
+    passed the key's last token, so that nothing stays in the state for good; tokens after that start a new batch.
     """
     kinds = dict(stream.dtypes)
 
     def flush(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, held = state.get if state.exists else (0, [])
         held = list(held)
-        rows = pd.concat(list(parts)).sort_values(order)
         out = []
-        for t in rows[text]:
-            held.append(str(t))
-            if len(held) == size:
-                out.append((keys[0], n, size, " ".join(held)))
-                n, held = n + 1, []
-        state.update((n, held))
+        if state.hasTimedOut:
+            if held:
+                out.append((keys[0], n, len(held), " ".join(held)))
+            state.remove()
+        else:
+            rows = pd.concat(list(parts)).sort_values(order)
+            for t in rows[text]:
+                held.append(str(t))
+                if len(held) == size:
+                    out.append((keys[0], n, size, " ".join(held)))
+                    n, held = n + 1, []
+            state.update((n, held))
+            latest = int(rows[time].max().timestamp() * 1000) if rows[time].notna().any() else 0
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "batch", "n", "text"])
 
-    return stream.select(key, order, text).groupBy(key).applyInPandasWithState(flush, f"{key} {kinds[key]}, batch long, n long, text string", "n long, held array<string>", "append", "NoTimeout")
+    rows = stream.select(key, order, text, F.col(time).cast("timestamp").alias(time)).withWatermark(time, late)
+    return rows.groupBy(key).applyInPandasWithState(flush, f"{key} {kinds[key]}, batch long, n long, text string", "n long, held array<string>", "append", "EventTimeTimeout")
 
 
 def rate_limit(stream: DataFrame, key: str, time: str, order: str, limit: int, seconds: float) -> DataFrame:
