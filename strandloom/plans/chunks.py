@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import chunking as C, retrieval as R
+from strandloom.plans.retrieval import _HASHED
 from strandloom.session import table
 
 
@@ -45,8 +46,10 @@ def sentence_counts(spark, d):
 
 
 def hash_embeddings(spark, d):
+    """Each document's embedding, its parts in millionths and empty ones left out, as bucket:part."""
     e = C.hash_embedding(_docs(spark, d), "doc_id", "text")
-    return e.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
+    parts = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), F.round(x.cast("double") * 1_000_000).cast("bigint").alias("x"))), lambda p: p["x"] > 0)
+    return e.select("doc_id", F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["i"], p["x"])), " ").alias("embedding"))
 
 
 def mmr_extract(spark, d):
@@ -91,6 +94,8 @@ QUERIES = {f.__name__: f for f in (chunk_paragraphs, chunk_windows, chunk_code,
 
 _TOK = "(SELECT source, doc_id, strlen(coalesce(text, '')) // 4 + 1 AS tokens FROM documents WHERE source IS NOT NULL)"
 SQL = {
+    "hash_embeddings": f"WITH {_HASHED.split('unit AS')[0].rstrip().rstrip(',')}, e AS (SELECT doc_id, string_agg(bucket || ':' || round(x::DOUBLE * 1000000)::BIGINT, ' ' ORDER BY bucket) AS embedding FROM part WHERE round(x::DOUBLE * 1000000) > 0 GROUP BY doc_id) SELECT doc_id, coalesce(embedding, '') AS embedding FROM documents LEFT JOIN e USING (doc_id)",
+    "sentence_counts": r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> ''))::BIGINT AS n_sentences FROM documents",
     "budget_stop": f"SELECT source, doc_id, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 4000 AS taken FROM {_TOK}",
     "budget_prefix": "SELECT source, doc_id, running FROM (SELECT source, doc_id, sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents WHERE source IS NOT NULL) WHERE running <= 20000",
     "conv_tokens": "SELECT source, (4 * count(*) + sum(strlen(coalesce(text, '')) // 4 + 1))::BIGINT AS tokens FROM documents WHERE doc_type = 'chat' GROUP BY source",

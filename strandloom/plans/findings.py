@@ -216,6 +216,11 @@ SELECT part, rule, round(least(0.35::DOUBLE * w + 0.25::DOUBLE * CASE rule WHEN
     "rule_findings": f"WITH {_LINES}, r AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}', '{s}')" for n, p, s in RULES) + ") t(rule, pattern, severity)) SELECT doc_id, rule, severity, line FROM lines, r WHERE regexp_matches(content, pattern)",
     "close_names": "SELECT a.n_nationkey, b.n_nationkey AS other_key, levenshtein(a.n_name, b.n_name) AS edits FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 3",
     "bit_decode": "SELECT event_id, " + ", ".join(f"CASE WHEN user_id % 9 >= 3 THEN (id >> {o}) & {m} END AS {n}" for n, o, m in (("pgn", 8, 0x3FFFF), ("priority", 26, 7), ("source", 0, 255), ("destination", 8, 255))) + " FROM (SELECT *, (event_id * 2654435761) % 536870912 AS id FROM events)",
+    "canopen_decode": "SELECT event_id, event_id % 2048 & 127 AS node, event_id % 2048 >> 7 AS function, ('0x' || left(md5(event_id::VARCHAR), 2))::BIGINT AS command FROM events",
+    "rule_conflicts": """WITH s AS (SELECT DISTINCT pr_id, title, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM sessions WHERE pr_id IS NOT NULL AND title IS NOT NULL),
+p AS (SELECT a.pr_id, a.title, b.title AS other, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m FROM s a JOIN s b ON a.pr_id = b.pr_id AND a.title < b.title)
+SELECT * FROM (SELECT pr_id, title, other, CASE WHEN (contains(title, 'Draft') AND contains(other, 'Fix')) OR (contains(title, 'Fix') AND contains(other, 'Draft')) OR (contains(title, 'Review') AND contains(other, 'Follow')) OR (contains(title, 'Follow') AND contains(other, 'Review')) THEN 'contradiction'
+WHEN n / greatest(m - n, 1) > 0.4 THEN 'overlap' END AS kind FROM p) WHERE kind IS NOT NULL""",
     "register_fields": "SELECT event_id, " + ", ".join(f"(event_id >> {o}) & {(1 << w) - 1} AS f{o}_{w}" for o, w in ((0, 4), (4, 3), (7, 9))) + " FROM events",
     "frame_stats": "SELECT count(*) AS frames, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_id % 2 = 0) AS extended, count(DISTINCT user_id) AS ids FROM events",
     "pgn_shares": "SELECT (((event_id * 2654435761) % 536870912) >> 8) & 63 AS pgn, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1",

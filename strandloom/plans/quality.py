@@ -233,6 +233,9 @@ SQL = {
     "old_blobs": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n > 1",
     "blob_refcount": "SELECT user_id, sha256(event_type) AS digest, count(*) AS refs FROM events GROUP BY 1, 2",
     "integrity_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('s:' || doc_id)) AS r, count(*) OVER () AS n FROM documents) WHERE r <= least(greatest(10, floor(n * 0.01)), 100)",
+    "hash_ring": """WITH nodes AS (SELECT unnest(['alpha', 'beta', 'gamma', 'delta']) AS node), ring AS (SELECT ('0x' || left(sha256(node || ':' || i), 15))::BIGINT AS h, node FROM nodes, range(100) t(i)),
+k AS (SELECT c_custkey, ('0x' || left(sha256(c_custkey::VARCHAR), 15))::BIGINT AS h FROM customer)
+SELECT c_custkey, coalesce(ring.node, (SELECT arg_min(node, h) FROM ring)) AS node FROM k ASOF LEFT JOIN ring ON ring.h >= k.h""",
     "eval_ranking": f"WITH {_EVAL} SELECT * FROM ev",
     "eval_summary": f"WITH {_EVAL} SELECT query_id % 3 AS category, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("hit_10", "precision_5", "recall_10", "mrr")) + " FROM ev GROUP BY 1",
     "eval_golden": f"WITH {_EVAL} SELECT query_id, " + ", ".join(f"(h10 >= least({k}, n_relevant))::INT AS golden_hit_{k}" for k in (1, 5, 10)) + " FROM h WHERE n_relevant > 0",

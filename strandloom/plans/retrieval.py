@@ -224,6 +224,12 @@ AND (score > 0.45 OR EXISTS (SELECT 1 FROM term t WHERE t.rank <= 10 AND t.query
     "dup_groups": "SELECT strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "jaccard": f"""WITH {_ASKED}, w AS (SELECT doc_id, list_distinct({_TOK.format("text")}) AS w FROM documents), q AS (SELECT query_id, list_distinct({_TOK.format("query")}) AS q FROM asked)
 SELECT query_id, doc_id, round(len(list_intersect(q, w)) / (len(q) + len(w) - len(list_intersect(q, w))), 6) AS jaccard, round(len(list_intersect(q, w)) / len(q), 6) AS overlap FROM w, q WHERE doc_id <> query_id AND len(list_intersect(q, w)) > 0""",
+    "query_expansion": "WITH asked(query_id, query) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in ASKED) + f"), t AS (SELECT query_id, {_IN_ORDER.format(_TOK.format('query'))} AS t FROM asked) SELECT query_id, array_to_string(t"
+    + "".join(f" || CASE WHEN list_contains(t, '{w}') THEN list_filter([{', '.join(repr(x) for x in more)}], lambda x: NOT list_contains(t, x)) ELSE [] END" for w, more in sorted(SYNONYMS.items()))
+    + ", ' ') AS terms FROM t",
+    "char_overlap": "WITH c AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(source, '')), ''), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(coalesce(path, '')), ''), lambda x: x <> '')) AS b FROM documents) SELECT doc_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS overlap FROM c",
+    "compact_text": "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE left(t, 96) || ' [...] ' || right(t, 97) END AS text FROM t",
+    "embedding_text": "SELECT doc_id, concat_ws(chr(10), nullif(trim(path), ''), nullif(trim(source), ''), nullif(trim(substr(text, 1, 2400)), '')) AS text FROM documents",
     "token_estimate": "SELECT doc_id, (strlen(text) // 4 + 1)::BIGINT AS tokens FROM documents",
     "truncated_text": "SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 998) || '...' || right(text, 999) END AS text FROM documents",
     "haystack": "SELECT doc_id, lower(concat_ws(' ', path, source, substr(text, 1, 2500))) AS hay FROM documents",

@@ -148,6 +148,10 @@ def idempotency_keys(spark, d):
 
 QUERIES = {f.__name__: f for f in (entities, token_prefix, table_quality, trivial_filter, tag_overlap, read_until, schema_range, file_resolution, fan_in, audit_trail, version_dedup, tamper_positions, prune_episodes, explanation_limit, bloom_semi, fuzzy_match, snippet_pack, trust_scores, snapshot_gc, stale_keys, restore_range, replay_hash, cache_hit_rate, idempotency_keys)}
 SQL = {
+    "entities": "SELECT doc_id, " + ", ".join(f"array_to_string(list_filter(x{k}, lambda v, i: list_position(x{k}, v) = i)[:{most}], ',') AS {n}" for k, (n, (_, most)) in enumerate(NAMED.items())) + " FROM (SELECT doc_id, " + ", ".join(f"regexp_extract_all(coalesce(text, ''), '{p}', 1) AS x{k}" for k, (p, _) in enumerate(NAMED.values())) + " FROM documents)",
+    "replay_hash": """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS o FROM events),
+c AS (SELECT user_id, o, o // 1000 AS block, sha256(o || '|' || event_type || '|' || event_id) AS c FROM e), b AS (SELECT user_id, block, sha256(string_agg(c, '' ORDER BY o)) AS c FROM c GROUP BY 1, 2)
+SELECT user_id, sha256(string_agg(c, '' ORDER BY block)) AS replay FROM b GROUP BY 1""",
     "token_prefix": "SELECT doc_id, sha256(left(coalesce(text, ''), 199)) AS digest FROM documents",
     "table_quality": "SELECT event_id, round(least((event_id % 100) / 100.0::DOUBLE * CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.7 END * CASE WHEN (event_id % 7) / 7.0::DOUBLE < 0.5 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN event_id % 5 = 0 THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN event_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.85 END * CASE WHEN event_id % 11 = 0 THEN 0.7::DOUBLE ELSE 1 END, 0.98), 6) AS quality FROM events",
     "trivial_filter": "SELECT doc_id FROM documents WHERE length(trim(coalesce(text, ''))) < 10 OR regexp_full_match(lower(trim(text)), 'ok|thanks|todo|n/a|tbd|lorem ipsum')",
