@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -71,5 +72,5 @@ def with_fallback(first: Callable[[], DataFrame], second: Callable[[], DataFrame
         df = first()
         df.limit(1).count()
         return df
-    except Exception:  # noqa: BLE001
+    except (AnalysisException, FileNotFoundError):  # not there or not readable as such; other failures are the caller's
         return second()

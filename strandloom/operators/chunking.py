@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 CHUNKS = "chunk_index int, start int, chunk string"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -178,33 +178,45 @@ def hash_embedding(rows: DataFrame, key: str, text: str, size: int = 256) -> Dat
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
-def _cosines(parts: list[str]) -> np.ndarray:
-    """Cosines of the parts' token counts."""
+def _unit_counts(parts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sentence and word of each distinct token of a sentence, in order, with (counts, vocabulary, counts over the sentence's norm)."""
     at: dict[str, int] = {}
-    rows = [[at.setdefault(w, len(at)) for w in _TOKEN.findall(p.lower())] for p in parts]
-    m = np.zeros((len(parts), max(1, len(at))))
-    for i, r in enumerate(rows):
-        np.add.at(m[i], r, 1)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    return m @ m.T
-
-
-def mmr(parts: list[str], share: float = 0.3, weight: float = 0.5, pool: int = 200, near: int | None = None) -> list[int]:
+    rows, words, n = [], [], []
+    for i, p in enumerate(parts):
+        c = Counter(at.setdefault(w, len(at)) for w in _TOKEN.findall(p.lower()))
+        rows += [i] * len(c)
+        words += c
+        n += c.values()
+    rows, words, n = np.array(rows, np.int64), np.array(words, np.int64), np.array(n, np.float64)
+    norm = np.sqrt(np.bincount(rows, n * n, minlength=len(parts)))
+    return rows, words, (n, np.arange(max(1, len(at))), n / np.maximum(norm, 1e-12)[rows])
+
+
+def mmr(parts: list[str], share: float = 0.3, weight: float = 0.5, pool: int | None = None, near: int | None = None) -> list[int]:
     """Places of the sentences kept, in order: each the best by weight * likeness to the whole - (1 - weight) * redundancy.
 
-    Of more than ``pool`` sentences an even spread is considered. Redundancy is the highest likeness to those taken; with
+    All sentences are considered, or with ``pool`` an even spread of that many. Likenesses are worked out one sentence at a time,
+    so memory follows the sentences, not their pairs. Redundancy is the highest likeness to those taken; with
     ``near`` it is known only to the neighbours that close, 0.5 to others, and the lowest of them counts.
     """
-    if len(parts) > pool:
+    if pool is not None and len(parts) > pool:
         places = np.unique(np.linspace(0, len(parts) - 1, pool).astype(int))
     else:
         places = np.arange(len(parts))
     chosen = [parts[i] for i in places]
-    sims = _cosines([*chosen, " ".join(chosen)])
-    whole, sims = sims[-1, :-1], sims[:-1, :-1]
-    if near is not None:
-        i = np.arange(len(chosen))
-        sims = np.where(np.abs(i[:, None] - i[None, :]) <= near, sims, 0.5)
+    rows, words, counts = _unit_counts(chosen)
+    total = np.bincount(words, counts[0], minlength=len(counts[1]))
+    whole = np.bincount(rows, counts[2] * total[words], minlength=len(chosen)) / max(np.linalg.norm(total), 1e-12)
+    ends = np.searchsorted(rows, np.arange(len(chosen) + 1))
+
+    def likeness(i: int) -> np.ndarray:
+        """Of sentence i to all."""
+        own = np.zeros(len(total))
+        span = slice(ends[i], ends[i + 1])
+        own[words[span]] = counts[2][span]
+        out = np.bincount(rows, counts[2] * own[words], minlength=len(chosen))
+        return out if near is None else np.where(np.abs(np.arange(len(chosen)) - i) <= near, out, 0.5)
+
     k = max(1, int(share * len(chosen)))
     taken: list[int] = []
     redundancy = np.zeros(len(chosen))
@@ -212,7 +224,8 @@ def mmr(parts: list[str], share: float = 0.3, weight: float = 0.5, pool: int = 2
     while len(taken) < min(k, len(chosen)):
         score = np.where(free, weight * whole - (1 - weight) * redundancy, -np.inf)
         best = int(np.argmax(score))
-        redundancy = sims[best].copy() if not taken else np.minimum(redundancy, sims[best]) if near is not None else np.maximum(redundancy, sims[best])
+        own = likeness(best)
+        redundancy = own if not taken else np.minimum(redundancy, own) if near is not None else np.maximum(redundancy, own)
         taken.append(best)
         free[best] = False
     return sorted(int(places[i]) for i in taken)
@@ -270,16 +283,22 @@ def compacted(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def packed_budget(rows: DataFrame, group: str, ident: str, order: list[str], size: str, budget: int, stop: bool = False) -> DataFrame:
-    """(group, ident, taken): items in order taken while the budget lasts; one that doesn't fit is skipped, or ends it (``stop``)."""
+    """(group, ident, taken): items in order taken while the budget lasts; one that doesn't fit is skipped, or ends it (``stop``).
+
+    With ``stop`` an item is taken where the running sum is within the budget (sizes aren't negative). Skipping depends on what was
+    taken before: a group's (ident, size) rows are folded by one task.
+    """
     kinds = dict(rows.dtypes)
+    if stop:
+        run = F.sum(size).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+        return rows.select(group, ident, (run <= budget).alias("taken"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        left, open_, taken = budget, True, []
+        left, taken = budget, []
         for n in pdf[size].to_numpy():
-            ok = bool(open_ and n <= left)
+            ok = bool(n <= left)
             left -= n if ok else 0
-            open_ = open_ and (ok or not stop)
             taken.append(ok)
         return pd.DataFrame({group: pdf[group], ident: pdf[ident], "taken": taken})
 
@@ -310,7 +329,5 @@ def sliding_dedup(rows: DataFrame, group: str, order: str, vector: str, window:
 
 def prefix_budget(rows: DataFrame, group: str, order: list, size: str, budget: int) -> DataFrame:
     """Rows up to the first that exceeds the budget: a running sum, all in the JVM."""
-    from pyspark.sql import Window as W
-
     run = F.sum(size).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("running", run).filter(F.col("running") <= budget)

@@ -12,7 +12,21 @@ def ranking_quality(retrieved: DataFrame, relevant: DataFrame, key: str, cuts: t
     is 1 / sqrt(r) ('sqrt') or 1 / log2(r + 1) ('log2'). Queries without relevant rows are left out; without hits all is 0.
     """
     n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    judged = retrieved.join(relevant.select("query_id", key, F.lit(1).alias("rel")), ["query_id", key], "left")
+    return judged_quality(retrieved.join(relevant.select("query_id", key, F.lit(1).alias("rel")), ["query_id", key], "left"), n, cuts, discount)
+
+
+def label_judged(retrieved: DataFrame, labels: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(judged, n) for judged_quality where rows with the query's own label are relevant to it: only retrieved rows are looked at,
+    and the others of a label are counted, so that no query is set against all rows of its label. Query ids are keys."""
+    own = labels.select(F.col(key).alias("query_id"), F.col(label).alias("_own"))
+    n = own.join(labels.groupBy(F.col(label).alias("_own")).agg((F.count("*") - 1).alias("n_relevant")), "_own").filter("n_relevant > 0")
+    n = n.join(retrieved.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "n_relevant")
+    judged = retrieved.join(own, "query_id").join(labels.select(key, label), key).withColumn("rel", (F.col(label) == F.col("_own")).cast("int"))
+    return judged.select("query_id", key, "rank", "rel"), n
+
+
+def judged_quality(judged: DataFrame, n: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10), discount: str = "sqrt") -> DataFrame:
+    """ranking_quality of (query_id, rank, rel 1 or not) and (query_id, n_relevant)."""
     gain = 1 / F.sqrt("rank") if discount == "sqrt" else 1 / F.log2(F.col("rank") + 1)
     top = cuts[-1]
     hits = judged.groupBy("query_id").agg(
@@ -32,9 +46,14 @@ def ranking_quality(retrieved: DataFrame, relevant: DataFrame, key: str, cuts: t
 
 def golden_hits(retrieved: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Per query, from the overlap of the first ten with the expected keys: at 1 any hit counts, at k min(k, expected) hits."""
-    n = expected.groupBy("query_id").agg(F.count("*").alias("n"))
-    overlap = retrieved.filter("rank <= 10").join(expected, ["query_id", key], "left_semi").groupBy("query_id").agg(F.count("*").alias("o"))
-    rows = n.join(overlap, "query_id", "left").fillna(0, ["o"])
+    n = expected.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    return judged_golden(retrieved.join(expected.select("query_id", key, F.lit(1).alias("rel")), ["query_id", key], "left"), n)
+
+
+def judged_golden(judged: DataFrame, n: DataFrame) -> DataFrame:
+    """golden_hits of (query_id, rank, rel 1 or not) and (query_id, n_relevant)."""
+    overlap = judged.filter("rank <= 10 AND rel = 1").groupBy("query_id").agg(F.count("*").alias("o"))
+    rows = n.withColumnRenamed("n_relevant", "n").join(overlap, "query_id", "left").fillna(0, ["o"])
     return rows.select("query_id", *((F.col("o") >= F.least(F.lit(k), F.col("n"))).cast("int").alias(f"golden_hit_{k}") for k in (1, 5, 10)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strandloom.session import numbered
+
 
 def micros(time: Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone (then in the session's)."""
@@ -52,8 +54,20 @@ def partition_bounds(log: DataFrame, partition: str, time: str, order: str) -> D
 
 def sequence_gaps(log: DataFrame, key: str, sequence: str) -> DataFrame:
     """(key, expected, actual) where a sequence isn't its predecessor plus one; repeated numbers count too."""
-    before = F.lag(sequence).over(W.partitionBy(key).orderBy(sequence))
-    return log.select(key, (before + 1).alias("expected"), F.col(sequence).alias("actual")).filter("expected IS NOT NULL AND expected <> actual")
+    rows = with_previous(log.select(key, sequence), key, [sequence], [sequence])
+    return rows.select(key, (F.col(f"previous_{sequence}") + 1).alias("expected"), F.col(sequence).alias("actual")).filter("expected IS NOT NULL AND expected <> actual")
+
+
+def with_previous(log: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``log`` with ``previous_<column>`` of the row before in the key's ``order`` (total up to equal rows; null for the first).
+
+    Rows are ranked over the whole table by range partitions and joined with the next rank, so no key is sorted in one task.
+    """
+    rows = numbered(log, [key, *order], "_r")
+    before = rows.select((F.col("_r") + 1).alias("_r"), F.col(key).alias("_k"), *(F.col(c).alias(f"_p_{c}") for c in columns))
+    both = rows.join(before, "_r", "left")
+    own = F.col("_k") == F.col(key)
+    return both.select(*log.columns, *(F.when(own, F.col(f"_p_{c}")).alias(f"previous_{c}") for c in columns))
 
 
 def last_n(log: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
@@ -92,8 +106,8 @@ def row_checksum(*columns: Column) -> Column:
 
 def chain_breaks(log: DataFrame, key: str, order: str, digest: str, previous: str) -> DataFrame:
     """(key, first_break, n_breaks): rows whose ``previous`` isn't the predecessor's digest; a first row needs ''."""
-    want = F.coalesce(F.lag(digest).over(W.partitionBy(key).orderBy(order)), F.lit(""))
-    return log.withColumn("_want", want).filter(~F.col(previous).eqNullSafe(F.col("_want"))).groupBy(key).agg(F.min(order).alias("first_break"), F.count("*").alias("n_breaks"))
+    rows = with_previous(log.select(key, order, digest, previous), key, [order], [digest])
+    return rows.withColumn("_want", F.coalesce(f"previous_{digest}", F.lit(""))).filter(~F.col(previous).eqNullSafe(F.col("_want"))).groupBy(key).agg(F.min(order).alias("first_break"), F.count("*").alias("n_breaks"))
 
 
 def trailing_count(log: DataFrame, key: list[str], time: str, seconds: float, flag: Column, name: str = "trailing") -> DataFrame:
@@ -151,9 +165,17 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def correlated(log: DataFrame, key: str, time: str, ident: str, seconds: float) -> DataFrame:
     """(ident, n_near): other rows of the key less than ``seconds`` away, by a range window instead of a self join."""
-    us = micros(F.col(time))
     reach = int(seconds * 1_000_000) - 1
-    return log.select(ident, (F.count("*").over(W.partitionBy(key).orderBy(us).rangeBetween(-reach, reach)) - 1).alias("n_near"))
+    width = 60 * (reach + 1)
+    rows = log.select(key, ident, micros(F.col(time)).alias("_us")).withColumn("_c", F.floor(F.col("_us") / width))
+    # a slice of time takes the rows of its neighbours that reach into it, so few keys still make many groups
+    own = F.struct(F.col("_c").alias("c"), F.lit(True).alias("own"))
+    edge = lambda near, step: F.when(near, F.struct((F.col("_c") + step).alias("c"), F.lit(False).alias("own")))
+    place = F.col("_us") - F.col("_c") * width
+    copies = F.filter(F.array(own, edge(place <= reach, -1), edge(place >= width - reach, 1)), lambda x: x.isNotNull())
+    spread = rows.select(key, ident, "_us", F.explode(copies).alias("_x"))
+    near = F.count("*").over(W.partitionBy(key, "_x.c").orderBy("_us").rangeBetween(-reach, reach)) - 1
+    return spread.withColumn("n_near", near).filter("_x.own").select(ident, "n_near")
 
 
 def causal_lookback(log: DataFrame, key: str, time: str, ident: str, symptom: Column, seconds: float) -> DataFrame:

@@ -129,8 +129,19 @@ def trimmed_list(items: Column) -> Column:
 
 def packed_snippets(rows: DataFrame, group: str, ident: str, order: list[str], text: str, budget: int) -> DataFrame:
     """(group, ident, snippet): snippets in order while their token estimates fit, equal texts (white space aside) once; the
-    first that doesn't fit is cut at a line and ends the group."""
+    first that doesn't fit is cut at a line and ends the group.
+
+    A snippet takes a token at least, so a group's first ``budget`` + 1 different texts decide; those beyond the running sum are left
+    out too, before any text is shuffled. ident must be unique.
+    """
     kinds = dict(rows.dtypes)
+    norm = F.md5(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")))
+    sizes = rows.select(group, *dict.fromkeys([ident, *order]), norm.alias("_t"), (F.floor(F.octet_length(F.coalesce(F.col(text), F.lit(""))) / 4) + 1).alias("_n"))
+    first = sizes.groupBy(group, "_t").agg(F.min(F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.col(ident).alias("_i"), "_n")).alias("_f"))
+    lead = W.partitionBy(group).orderBy(*(f"_f._o{i}" for i in range(len(order))), "_f._i")
+    few = first.withColumn("_r", F.row_number().over(lead)).filter(F.col("_r") <= budget + 1)
+    few = few.withColumn("_before", F.coalesce(F.sum("_f._n").over(lead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") <= budget)
+    rows = rows.join(few.select(F.col("_f._i").alias(ident)), ident, "left_semi")
     size = lambda s: len(s.encode()) // 4 + 1
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -107,10 +107,14 @@ def merkle_root(spark, d):
 
 
 def snapshot_root(spark, d):
-    """Root of the indexed files of each top folder: digest over their sorted path and content hash."""
+    """Root of the indexed files of each top folder: digest over the digests of a thousand sorted lines of path and content hash each."""
     f = table(spark, d, "file_index_state").groupBy("path").agg(F.max_by("content_hash", F.struct("mtime", "content_hash")).alias("h"))
     line = F.concat("path", F.lit("|"), "h", F.lit("\n"))
-    return f.groupBy(F.split("path", "/")[0].alias("folder"), F.split("path", "/")[1].alias("sub")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("root"))
+    rows = f.select(F.split("path", "/")[0].alias("folder"), F.split("path", "/")[1].alias("sub"), line.alias("line"))
+    place = F.row_number().over(G.W.partitionBy("folder", "sub").orderBy("line")) - 1
+    digest = lambda c, o: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda x: x[c]), ""), 256)
+    blocks = rows.withColumn("n", place).groupBy("folder", "sub", F.floor(F.col("n") / 1000).alias("block")).agg(digest("line", "n").alias("d"))
+    return blocks.groupBy("folder", "sub").agg(digest("d", "block").alias("root"))
 
 
 def _defs(spark, d):
@@ -182,7 +186,9 @@ lev AS (SELECT node, cost AS total FROM (SELECT src AS node FROM parts UNION SEL
     "cycle_breaks": f"WITH RECURSIVE {_FILES}, {_SCC} SELECT component, src, dst FROM (SELECT a.component, src, dst, row_number() OVER (PARTITION BY a.component ORDER BY length(src) + length(dst), src, dst) AS n FROM files JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component = b.component AND src <> dst) WHERE n = 1",
     "unreachable": f"WITH RECURSIVE {_FILES}, s AS (SELECT DISTINCT src AS node FROM files WHERE src NOT IN (SELECT dst FROM files) UNION SELECT f.dst FROM s JOIN files f ON s.node = f.src) SELECT node FROM (SELECT src AS node FROM files UNION SELECT dst FROM files) WHERE node NOT IN (SELECT node FROM s)",
     "causal_roots": f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS root, dst AS node, 1 AS hops FROM parts UNION SELECT r.root, p.dst, r.hops + 1 FROM r JOIN parts p ON r.node = p.src WHERE r.hops < 5) SELECT root, node, round(power(0.8::DOUBLE, min(hops) + 1), 6) AS confidence FROM r WHERE node NOT IN (SELECT src FROM parts) GROUP BY 1, 2",
-    "snapshot_root": "SELECT folder, sub, sha256(string_agg(line, '' ORDER BY line)) AS root FROM (SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS sub, path || '|' || h || chr(10) AS line FROM (SELECT path, arg_max(content_hash, (mtime, content_hash)) AS h FROM file_index_state GROUP BY path)) GROUP BY 1, 2",
+    "snapshot_root": """WITH l AS (SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS sub, path || '|' || h || chr(10) AS line FROM (SELECT path, arg_max(content_hash, (mtime, content_hash)) AS h FROM file_index_state GROUP BY path)),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder, sub ORDER BY line) - 1 AS n FROM l), b AS (SELECT folder, sub, n // 1000 AS block, sha256(string_agg(line, '' ORDER BY n)) AS d FROM n GROUP BY 1, 2, 3)
+SELECT folder, sub, sha256(string_agg(d, '' ORDER BY block)) AS root FROM b GROUP BY 1, 2""",
     "symbol_lookup": "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('FRANCE', 'GERMANY', 'NATION_1', 'NATION_2')",
     "call_sites": "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "callees": "SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2",

@@ -114,14 +114,13 @@ def _ranked(spark, d):
     return R.knn(e, q, "vec_id", "embedding", 10)
 
 
-def _relevant(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e.select("vec_id", "label"), "label").filter("vec_id <> query_id").select("query_id", "vec_id")
+def _judged(spark, d):
+    """Vectors of the query's label are relevant to it."""
+    return E.label_judged(_ranked(spark, d), table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 def eval_ranking(spark, d):
-    return E.ranking_quality(_ranked(spark, d), _relevant(spark, d), "vec_id")
+    return E.judged_quality(*_judged(spark, d))
 
 
 def eval_summary(spark, d):
@@ -130,7 +129,7 @@ def eval_summary(spark, d):
 
 
 def eval_golden(spark, d):
-    return E.golden_hits(_ranked(spark, d), _relevant(spark, d), "vec_id")
+    return E.judged_golden(*_judged(spark, d))
 
 
 def eval_drift(spark, d):
