@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import chunks, findings, graphs, logs, problems, quality, retrieval, selection, streams
+from strandloom.plans import chunks, findings, graphs, logs, lookups, problems, quality, retrieval, selection, streams
 
-MODULES = [problems, retrieval, logs, quality, graphs, findings, chunks, streams, selection]
+MODULES = [problems, retrieval, logs, quality, graphs, findings, chunks, streams, selection, lookups]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,7 @@ def test_query(spark, sf_dir, name):
 PLAIN = {
     "test_problems": {"p1_found", "p1_unified", "p5_found"},
     "test_whole": {"hops", "call_paths", "taint"},
-    "test_plain": {"rate_limit", "stream_rate_limit", "merkle_root", "chunk_paragraphs", "chunk_windows", "chunk_code", "chunk_json", "chunk_spans", "mmr_extract", "mmr_near", "kv_compact", "budget_skip", "sliding_dedup", "snippet_pack"},
+    "test_plain": {"rate_limit", "stream_rate_limit", "merkle_root", "chunk_paragraphs", "chunk_windows", "chunk_code", "chunk_json", "chunk_spans", "mmr_extract", "mmr_near", "kv_compact", "budget_skip", "sliding_dedup", "check_and_add", "snippet_pack"},
 }
 
 

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from strandloom.operators import chunking as C
-from strandloom.plans import chunks, graphs, logs, selection, streams
+from strandloom.plans import chunks, graphs, logs, lookups, selection, streams
 
 
 def rows(sf_dir, name, *columns):
@@ -176,6 +176,15 @@ def test_sliding_dedup(spark, sf_dir):
             kept += [v] if ok else []
             want.append((label, i, ok))
     assert got(chunks.sliding_dedup(spark, sf_dir)) == sorted(want, key=repr)
+    added = []
+    for label, vectors in by.items():
+        kept, seen = [], set()
+        for i, v in vectors:
+            copy, ok = i // 3 in seen, not any(cos(v, u) > 0.2 for u in kept[-20:])
+            seen.add(i // 3)
+            kept += [v] if ok and not copy else []
+            added.append((label, i, "copy" if copy else "added" if ok else "near"))
+    assert got(lookups.check_and_add(spark, sf_dir)) == sorted(added, key=repr) and len({x[2] for x in added}) == 3
 
 
 def test_snippet_pack(spark, sf_dir):
