@@ -20,7 +20,7 @@ def _events(spark, d, order="event_id"):
 
 
 def stream_count_flush(spark, d):
-    out = S.drained(S.count_flush(_events(spark, d), "user_id", "event_id", "event_type", "ts", 10, "60 days"), "flush")
+    out = S.drained(S.count_flush(_events(spark, d), "user_id", "event_id", "event_type", 10, "ts", "60 days"), "flush")
     return out.filter("user_id >= 0")
 
 

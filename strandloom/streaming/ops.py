@@ -54,11 +54,12 @@ def exactly_once(stream: DataFrame, keys: list[str], time: str, late: str) -> Da
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def count_flush(stream: DataFrame, key: str, order: str, text: str, time: str, size: int, late: str = "1 day") -> DataFrame:
+def count_flush(stream: DataFrame, key: str, order: str, text: str, size: int, time: str | None = None, late: str = "1 day") -> DataFrame:
     """(key, batch, n, text): tokens of a key joined in batches of ``size``, in order of arrival and, within a trigger, ``order``.
 
-    State is the open batch of a key. It is flushed with fewer tokens once the watermark (``late`` behind the latest ``time``) has
-    passed the key's last token, so that nothing stays in the state for good; tokens after that start a new batch.
+    State is the open batch of a key. With a ``time`` column it is flushed with fewer tokens once the watermark (``late`` behind the
+    latest time) has passed the key's last token, so that nothing stays in the state for good; tokens after that start a new batch.
+    Without one, open batches wait for further tokens.
     """
     kinds = dict(stream.dtypes)
 
@@ -78,12 +79,16 @@ def count_flush(stream: DataFrame, key: str, order: str, text: str, time: str, s
                     out.append((keys[0], n, size, " ".join(held)))
                     n, held = n + 1, []
             state.update((n, held))
-            latest = int(rows[time].max().timestamp() * 1000) if rows[time].notna().any() else 0
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
+            if time is not None:
+                latest = int(rows[time].max().timestamp() * 1000) if rows[time].notna().any() else 0
+                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "batch", "n", "text"])
 
-    rows = stream.select(key, order, text, F.col(time).cast("timestamp").alias(time)).withWatermark(time, late)
-    return rows.groupBy(key).applyInPandasWithState(flush, f"{key} {kinds[key]}, batch long, n long, text string", "n long, held array<string>", "append", "EventTimeTimeout")
+    if time is None:
+        rows, timeout = stream.select(key, order, text), "NoTimeout"
+    else:
+        rows, timeout = stream.select(key, order, text, F.col(time).cast("timestamp").alias(time)).withWatermark(time, late), "EventTimeTimeout"
+    return rows.groupBy(key).applyInPandasWithState(flush, f"{key} {kinds[key]}, batch long, n long, text string", "n long, held array<string>", "append", timeout)
 
 
 def rate_limit(stream: DataFrame, key: str, time: str, order: str, limit: int, seconds: float) -> DataFrame:
