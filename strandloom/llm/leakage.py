@@ -88,6 +88,20 @@ class WuManber:
         return found
 
 
+#: Tables built in this Python worker, with the items they were built from (a worker keeps a broadcast value for all its tasks).
+_tables: dict[tuple[int, int], tuple[list, WuManber]] = {}
+
+
+def tables_of(items: list[tuple[int, str]], length: int) -> WuManber:
+    """The tables of a broadcast list of items, built once a worker."""
+    key = (id(items), length)
+    if key not in _tables:
+        if len(_tables) >= 4:
+            _tables.clear()
+        _tables[key] = (items, WuManber(items, length))
+    return _tables[key][1]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, length: int = PASSAGE, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id), distinct: the documents that hold ``length`` consecutive words of an item, consecutive there too.
 
@@ -105,7 +119,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, length: int = PASSAGE,
         held = spark.sparkContext.broadcast(sorted(tuple(r) for r in part.collect()))
 
         def scan(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            search = WuManber(held.value, length).search
+            search = tables_of(held.value, length).search
             for batch in batches:
                 hits = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
