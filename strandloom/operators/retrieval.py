@@ -132,22 +132,24 @@ def cosine(a: Column, b: Column) -> Column:
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000, metric: str = "cosine") -> DataFrame:
     """(query_id, key, score, rank): exact nearest vectors by cosine, or (``metric`` 'l2') by distance, without the query itself.
+    With 'l2' there is also ``distance``, which isn't rounded.
 
     queries: (query_id, query_vector), cut into blocks of at most ``block`` rows that are broadcast as one matrix. Each Arrow
     batch of the table is multiplied with a block and keeps the best k per query (and ties with the last), so that only those
-    are shuffled. Null keys, zero vectors and vectors of another length than the query are skipped.
+    are shuffled. Null keys, zero vectors (by cosine only) and vectors of another length than the query are skipped.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[key]
     n = max(1, -(-queries.count() // block))
     found = None
     near = metric == "l2"
+    values = ["score", "distance"] if near else ["score"]
     shaped = (lambda rows: rows) if near else _unit
     for i in range(n):
         part = (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries).select(F.col("query_id").cast("bigint"), "query_vector").collect()
         by_size: dict[int, list] = {}
         for q, v in part:
-            if q is not None and v is not None and any(v):
+            if q is not None and v and (near or any(v)):
                 by_size.setdefault(len(v), []).append((q, v))
         held = spark.sparkContext.broadcast({size: (np.array([q for q, _ in rows], np.int64), shaped(np.array([v for _, v in rows], np.float64))) for size, rows in by_size.items()})
 
@@ -163,18 +165,19 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
                     keys = np.asarray(batch.column(0).take(at))
                     flat = np.asarray(batch.column(1).take(at).flatten().cast(pa.float64()).fill_null(0)).reshape(len(rows), size)
                     if near:
-                        score = -np.round(_distances(flat, matrix), 6)
+                        far = _distances(flat, matrix)
+                        score = -np.round(far, 6)
                     else:
                         score = np.round(_unit(flat) @ matrix.T, 6)
                         score[~flat.any(1)] = -np.inf
                     score[keys[:, None] == ids[None, :]] = -np.inf
                     least = np.partition(score, max(0, len(rows) - k), axis=0)[max(0, len(rows) - k)]
                     r, q = np.nonzero((score >= least) & (score > -np.inf))
-                    out.append((ids[q], rows[r], score[r, q]))
-                q, r, v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column(0).take(pa.array(r)), pa.array(v)], names=["query_id", key, "score"])
+                    out.append((ids[q], rows[r], score[r, q]) + ((far[r, q],) if near else ()))
+                q, r, *v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column(0).take(pa.array(r)), *map(pa.array, v)], names=["query_id", key, *values])
 
-        sims = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(search, f"query_id long, {key} {kind}, score double")
+        sims = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
         best = best.withColumn("score", -F.col("score")) if near else best
         found = best if found is None else found.unionByName(best)

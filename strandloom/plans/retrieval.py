@@ -76,7 +76,7 @@ def l2_score(spark, d):
     """Nearest by L2 distance; the score is its negative, the similarity max(0, 1 - d / 2)."""
     v, q = table(spark, d, "embeddings"), vector_queries(spark, d)
     near = R.knn(v, q, "vec_id", "embedding", 10, metric="l2").withColumnRenamed("score", "far")
-    return near.select("query_id", "vec_id", (-F.col("far")).alias("score"), F.round(F.greatest(F.lit(0.0), 1 - F.col("far") / 2), 6).alias("similarity"), "rank")
+    return near.select("query_id", "vec_id", (-F.col("far")).alias("score"), F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") / 2), 6).alias("similarity"), "rank")
 
 
 def merge_fused(spark, d):
