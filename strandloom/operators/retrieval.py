@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strandloom.operators.searching import best_rows
 from strandloom.session import cut_lineage
 
 QUERY_LIMIT = 10_000
@@ -51,23 +52,9 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score, rank) by BM25 over the OR of a query's distinct terms. queries: (query_id, query).
 
-    Only postings of query terms are shuffled for scoring; document frequencies come from the same aggregate.
+    The table is read twice, for document frequencies and for scores; only the best rows of each task are shuffled.
     """
-    return in_blocks(queries, lambda part: _bm25(chunks, part, key, text, k, k1, b))
-
-
-def _bm25(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int, k1: float, b: float) -> DataFrame:
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    corpus = chunks.select(key, tokens(F.col(text)).alias("w"))
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    asked = small(wanted.select("term").distinct())
-    hits = corpus.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(small(wanted), "term").join(df, "term").crossJoin(F.broadcast(size))  # size is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per(total, "query_id", [F.desc("score"), F.asc(key)], k)
+    return top_per(best_rows(chunks, queries, key, text, k, within=False, bm25=(k1, b)), "query_id", [F.desc("score"), F.asc(key)], k)
 
 
 def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = 1_000) -> DataFrame:
