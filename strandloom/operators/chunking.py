@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
@@ -164,16 +165,18 @@ def hash_embedding(rows: DataFrame, key: str, text: str, size: int = 256) -> Dat
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            out = np.zeros((batch.num_rows, size), np.float32)
+            codes = array("q")
             for i, t in enumerate(batch.column(1).to_pylist()):
                 for w in _TOKEN.findall((t or "").lower()):
                     if (b := known.get(w)) is None:
                         if len(known) > 500_000:
                             known.clear()
                         b = known[w] = fnv1a(w.encode()) % size
-                    out[i, b] += 1
+                    codes.append(i * size + b)
+            counts = np.bincount(np.frombuffer(codes, np.int64) if len(codes) else np.zeros(0, np.int64), minlength=batch.num_rows * size)
+            out = counts.reshape(batch.num_rows, size).astype(np.float32)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float32()))], names=[key, "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, size, dtype=np.int32), out.ravel())], names=[key, "embedding"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 

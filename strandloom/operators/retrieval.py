@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strandloom.operators.searching import best_rows
+from strandloom.operators.searching import Best, best_rows, sharing_rows
 from strandloom.session import cut_lineage
 
 QUERY_LIMIT = 10_000
@@ -54,57 +54,32 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
 
     The table is read twice, for document frequencies and for scores; only the best rows of each task are shuffled.
     """
-    return top_per(best_rows(chunks, queries, key, text, k, within=False, bm25=(k1, b)), "query_id", [F.desc("score"), F.asc(key)], k)
+    return in_blocks(queries, lambda part: top_per(best_rows(chunks, part, key, text, k, within=False, bm25=(k1, b)), "query_id", [F.desc("score"), F.asc(key)], k))
 
 
-def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = 1_000) -> DataFrame:
-    """search(queries) in blocks of about ``block`` queries, so that what is shuffled at once doesn't grow with the queries."""
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = 50_000, *, cut: bool = True) -> DataFrame:
+    """search(queries) in blocks of about ``block`` queries, so that what is shuffled (if anything: ``cut``) and what a task holds at
+    once doesn't grow with the queries."""
     n = max(1, -(-queries.count() // block))
     if n == 1:
         return search(queries)
-    parts = [cut_lineage(search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))) for i in range(n)]
-    return reduce(DataFrame.unionByName, parts)
+    parts = (search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n))
+    return reduce(DataFrame.unionByName, [cut_lineage(p) if cut else p for p in parts])
 
 
-def term_hits(chunks: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, key, n): distinct query terms that the text holds as a substring, where there is one.
+def term_score(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10, weight: float = 2.0, bonus: Column | None = None) -> DataFrame:
+    """(query_id, key, score, rank): ``weight`` for each distinct query term the text holds as a substring, plus ``bonus``; 0 is dropped.
 
-    Terms are whole runs of token characters, so each lies within a token of the text: parts of the vocabulary's tokens are joined
-    with the terms, and then postings, without a scan of the texts per query.
+    Terms are whole runs of token characters, so each lies within a token of the text: parts of tokens are looked up among the terms.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = wanted.select("term").distinct()
-    lengths = F.broadcast(terms.select(F.length("term").alias("len")).distinct())  # no more rows than characters in the longest term
-    posted = chunks.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
-    parts = posted.select("token").distinct().join(lengths, F.col("len") <= F.length("token")).select("token", "len", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("len") + 1)).alias("at"))
-    held = parts.select("token", F.substring(F.col("token"), F.col("at"), F.col("len")).alias("term")).join(terms, "term", "left_semi").distinct()
-    hits = posted.join(held, "token").select(key, "term").distinct()
-    return hits.join(wanted, "term").groupBy("query_id", key).agg(F.count("*").alias("n"))
-
-
-def term_score(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10, weight: float = 2.0) -> DataFrame:
-    """(query_id, key, score, rank): ``weight`` for each distinct query term the text holds as a substring; 0 is dropped."""
-
-    def search(part: DataFrame) -> DataFrame:
-        scored = term_hits(chunks, part, key, text).select("query_id", key, (F.col("n") * F.lit(weight)).alias("score"))
-        return top_per(scored.filter("score > 0"), "query_id", [F.desc("score"), F.asc(key)], k)
-
-    return in_blocks(queries, search)
+    return in_blocks(queries, lambda part: top_per(best_rows(chunks, part, key, text, k, within=True, factor=weight, bonus=bonus), "query_id", [F.desc("score"), F.asc(key)], k))
 
 
 def token_overlap(chunks: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, key, jaccard, overlap) of the token sets of queries and texts that share a token: counted over postings of the
-    queries' tokens, not by setting each query against each text. overlap is the share of the query's tokens."""
-    sets = chunks.select(key, F.array_distinct(tokens(F.col(text))).alias("w"))
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q"))
-
-    def search(part: DataFrame) -> DataFrame:
-        terms = part.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("term"))
-        posted = sets.select(key, F.size("w").alias("nw"), F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
-        both = posted.join(small(terms), "term").groupBy("query_id", key).agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nw").alias("nw"))
-        return both.select("query_id", key, F.round(F.col("n") / (F.col("nq") + F.col("nw") - F.col("n")), 6).alias("jaccard"), F.round(F.col("n") / F.col("nq"), 6).alias("overlap"))
-
-    return in_blocks(asked, search)
+    queries' tokens where the texts are read; nothing is shuffled. overlap is the share of the query's tokens."""
+    both = in_blocks(queries, lambda part: sharing_rows(chunks, part, key, text), cut=False)
+    return both.select("query_id", key, F.round(F.col("n") / (F.col("n_query") + F.col("n_row") - F.col("n")), 6).alias("jaccard"), F.round(F.col("n") / F.col("n_query"), 6).alias("overlap"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -117,60 +92,100 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000, metric: str = "cosine") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 32_000, metric: str = "cosine") -> DataFrame:
     """(query_id, key, score, rank): exact nearest vectors by cosine, or (``metric`` 'l2') by distance, without the query itself.
     With 'l2' there is also ``distance``, which isn't rounded.
 
-    queries: (query_id, query_vector), cut into blocks of at most ``block`` rows that are broadcast as one matrix. Each Arrow
-    batch of the table is multiplied with a block and keeps the best k per query (and ties with the last), so that only those
-    are shuffled. Null keys, zero vectors (by cosine only) and vectors of another length than the query are skipped.
+    queries: (query_id, query_vector), cut into blocks of at most ``block`` rows that are broadcast as one matrix. The table is
+    multiplied with a block where it is read, by cosine in single precision first: what may be among the best is worked out again in
+    double. Each task keeps the best k per query, so that only those are shuffled. Null keys, zero vectors (by cosine only)
+    and vectors of another length than the query are skipped.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[key]
-    n = max(1, -(-queries.count() // block))
-    found = None
     near = metric == "l2"
     values = ["score", "distance"] if near else ["score"]
-    shaped = (lambda rows: rows) if near else _unit
+    asked = queries.filter("query_id IS NOT NULL AND query_vector IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "query_vector")
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    n = max(1, -(-asked.count() // block))
+    found = None
     for i in range(n):
-        part = (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries).select(F.col("query_id").cast("bigint"), "query_vector").collect()
-        by_size: dict[int, list] = {}
-        for q, v in part:
-            if q is not None and v and (near or any(v)):
-                by_size.setdefault(len(v), []).append((q, v))
-        held = spark.sparkContext.broadcast({size: (np.array([q for q, _ in rows], np.int64), shaped(np.array([v for _, v in rows], np.float64))) for size, rows in by_size.items()})
-
-        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = np.asarray(batch.column(1).value_lengths().fill_null(0))
-                out = []
-                for size, (ids, matrix) in held.value.items():
-                    rows = np.flatnonzero(sizes == size)
-                    if not len(rows):
-                        continue
-                    at = pa.array(rows)
-                    keys = np.asarray(batch.column(0).take(at))
-                    flat = np.asarray(batch.column(1).take(at).flatten().cast(pa.float64()).fill_null(0)).reshape(len(rows), size)
-                    if near:
-                        far = _distances(flat, matrix)
-                        score = -np.round(far, 6)
-                    else:
-                        score = np.round(_unit(flat) @ matrix.T, 6)
-                        score[~flat.any(1)] = -np.inf
-                    score[keys[:, None] == ids[None, :]] = -np.inf
-                    least = np.partition(score, max(0, len(rows) - k), axis=0)[max(0, len(rows) - k)]
-                    r, q = np.nonzero((score >= least) & (score > -np.inf))
-                    out.append((ids[q], rows[r], score[r, q]) + ((far[r, q],) if near else ()))
-                q, r, *v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column(0).take(pa.array(r)), *map(pa.array, v)], names=["query_id", key, *values])
-
-        sims = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
+        part = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else asked).toArrow()
+        held = spark.sparkContext.broadcast(list(_by_size(part.column(0).combine_chunks(), part.column(1).combine_chunks(), near)))
+        search = _nearest_by_distance(held, key, k) if near else _nearest_by_cosine(held, key, k)
+        sims = rows.mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
         best = best.withColumn("score", -F.col("score")) if near else best
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _by_size(keys: pa.Array, vectors: pa.Array, zero: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, keys, matrix) of the vectors of each length, without zero vectors or with."""
+    sizes = np.asarray(vectors.value_lengths().fill_null(0))
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = pa.array(np.flatnonzero(sizes == size))
+        flat = np.asarray(vectors.take(at).flatten().cast(pa.float64()).fill_null(0)).reshape(len(at), size)
+        some = slice(None) if zero else flat.any(1)
+        yield size, keys.take(at) if zero else keys.take(at).filter(pa.array(some)), flat[some]
+
+
+def _nearest_by_distance(held, key: str, k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {size: (np.asarray(ids), matrix) for size, ids, matrix in held.value}
+        for batch in batches:
+            for size, names, flat in _by_size(batch.column(0), batch.column(1), True):
+                if size not in asked:
+                    continue
+                ids, matrix = asked[size]
+                far = _distances(flat, matrix)
+                score = -np.round(far, 6)
+                score[names.to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = -np.inf
+                place = max(0, len(flat) - k)
+                r, q = np.nonzero((score >= np.partition(score, place, axis=0)[place]) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), names.take(pa.array(r)), pa.array(score[r, q]), pa.array(far[r, q])], names=["query_id", key, "score", "distance"])
+
+    return search
+
+
+def _nearest_by_cosine(held, key: str, k: int, tall: int = 4_096, wide: int = 2_048) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {size: (np.asarray(ids), m := _unit(matrix), m.astype(np.float32), Best(len(m), k)) for size, ids, matrix in held.value}
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for size, names, flat in _by_size(batch.column(0), batch.column(1), False):
+                if size not in asked:
+                    continue
+                ids, matrix, single, best = asked[size]
+                keys, flat = names.to_numpy(zero_copy_only=False), _unit(flat)
+                for lo in range(0, len(flat), tall):
+                    part, mine = flat[lo : lo + tall], keys[lo : lo + tall]
+                    half = part.astype(np.float32)
+                    for left in range(0, len(ids), wide):
+                        right = left + wide
+                        score = half @ single[left:right].T
+                        floor = best.floor[left:right]
+                        if np.isinf(floor).any():  # the first rows give a floor
+                            score[mine[:, None] == ids[None, left:right]] = -np.inf
+                            place = max(0, len(part) - k)
+                            floor = np.maximum(floor, np.partition(score, place, axis=0)[place] - 1e-4)
+                        at = np.flatnonzero(score >= (floor - 1e-4).astype(np.float32))  # single precision is off by less
+                        r, q = np.divmod(at, score.shape[1])
+                        q += left
+                        other = mine[r] != ids[q]
+                        r, q = r[other], q[other]
+                        exact = np.concatenate([np.zeros(0)] + [np.round(np.einsum("ij,ij->i", part[r[s : s + 50_000]], matrix[q[s : s + 50_000]]), 6) for s in range(0, len(r), 50_000)])
+                        keep = exact >= best.floor[q]
+                        best.add(q[keep], mine[r[keep]], exact[keep])
+        for ids, _, _, best in asked.values():
+            q, names, score = best.compact()
+            for lo in range(0, len(q), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[lo : lo + 500_000]]), pa.array(names[lo : lo + 500_000], kind), pa.array(score[lo : lo + 500_000])], names=["query_id", key, "score"])
+
+    return search
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows, one query at a time: exact also for near ones."""
     return np.stack([np.sqrt(((a - q) ** 2).sum(1)) for q in b], 1)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
-#: Rows that are scored at once, queries whose terms a task holds, rows of an output batch.
-BLOCK, QUERIES_AT_ONCE, OUT = 32_768, 50_000, 500_000
+#: Rows that are scored at once, rows of an output batch.
+BLOCK, OUT = 32_768, 500_000
 
 #: Floors of the search that this worker is at: what its tasks found before holds for the next ones, as it is in the same table.
 _floors: dict[str, np.ndarray] = {}
@@ -215,23 +215,13 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _asked(queries: DataFrame, of: Column, within: bool) -> Iterator[tuple[pa.Array, Terms]]:
-    """Ids and terms of the queries, at most about QUERIES_AT_ONCE at a time; rows with the same id are one query."""
-    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    rows = queries.filter("query_id IS NOT NULL").select("query_id", of.alias("terms"))
-    for i in range(n):
-        part = (rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else rows).toArrow()
-        by: dict = {}
-        for q, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            by.setdefault(q, []).extend(t)
-        yield pa.array(by, part.schema.field(0).type), Terms(list(by.values()), within)
-
-
-def _all(parts: Iterable[DataFrame]) -> DataFrame:
-    found = None
-    for p in parts:
-        found = p if found is None else found.unionByName(p)
-    return found
+def _asked(queries: DataFrame, of: Column, within: bool) -> tuple[pa.Array, Terms]:
+    """Ids and terms of the queries; rows with the same id are one query."""
+    rows = queries.filter("query_id IS NOT NULL").select("query_id", of.alias("terms")).toArrow()
+    by: dict = {}
+    for q, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        by.setdefault(q, []).extend(t)
+    return pa.array(by, rows.schema.field(0).type), Terms(list(by.values()), within)
 
 
 def _counted(docs: DataFrame, terms) -> tuple[dict[int, int], int, int]:
@@ -315,7 +305,7 @@ def best_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int
 
         return docs.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
 
-    return _all(search(*q) for q in _asked(queries, F.array_distinct(tokens(F.col("query"))), within))
+    return search(*_asked(queries, F.array_distinct(tokens(F.col("query"))), within))
 
 
 def sharing_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -357,4 +347,4 @@ def sharing_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str) ->
 
         return docs.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, n long, n_query long, n_row long")
 
-    return _all(search(*q) for q in _asked(queries, F.array_distinct(tokens(F.col("query"))), False))
+    return search(*_asked(queries, F.array_distinct(tokens(F.col("query"))), False))

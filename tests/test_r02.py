@@ -47,7 +47,7 @@ def some_texts(n, seed=1):
 def held(spark, search, within, monkeypatch):
     """The search in small blocks of rows and queries against all pairs; nothing but the best rows of a task comes out of it."""
     monkeypatch.setattr(S, "BLOCK", 50)
-    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 25)
+    monkeypatch.setattr(R.in_blocks, "__defaults__", (25,))
     docs, queries = some_texts(900)
     d, q = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(queries, "query_id long, query string")
     got = {}
@@ -74,3 +74,7 @@ def test_bm25_of_repeated_and_missing_keys(spark):
     part = lambda df, tf, size: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
     want = {(7, 1): part(3, 2, 2) + part(1, 2, 2), (7, 2): part(3, 1, 1)}
     assert got.keys() == want.keys() and all(abs(got[x] - s) < 1e-6 for x, s in want.items())
+
+
+def test_term_score_shuffles_only_the_best_rows(spark, monkeypatch):
+    held(spark, R.term_score, True, monkeypatch)
