@@ -32,7 +32,7 @@ def _others(search, docs, q, k=10):
 def _nearest(docs, k):
     """Nearest documents by their hashed embeddings, for the documents whose id is divisible by 20."""
     v = chunking.hash_embedding(docs, "doc_id", "text")
-    q = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = chunking.hash_embedding(docs.filter("doc_id % 20 = 0"), "doc_id", "text").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return R.knn(v, q, "doc_id", "embedding", k)
 
 
@@ -167,7 +167,8 @@ def proximity_order(spark, d):
 def rerank(spark, d):
     """BM25 pool of 10 reranked by Jaccard with the query, ties by the first score, then id."""
     docs = table(spark, d, "documents")
-    pool = bm25(spark, d).drop("rank").join(docs.select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("w")), "doc_id").join(R.small(searches(spark, d)), "query_id")
+    # the queries come first: the texts' tokens are shuffled once
+    pool = bm25(spark, d).drop("rank").join(R.small(searches(spark, d)), "query_id").join(docs.select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("w")), "doc_id")
     scored = pool.select("query_id", "doc_id", "score", F.round(R.jaccard(F.array_distinct(R.tokens(F.col("query"))), F.col("w")), 6).alias("rerank_score"))
     return R.top_per(scored, "query_id", [F.desc("rerank_score"), F.desc("score"), F.asc("doc_id")], 10)
 
