@@ -176,7 +176,7 @@ def test_searches_of_an_empty_graph(spark):
     assert T.reachable(none, roots).count() == T.shortest_paths(none, roots).count() == T.reachable(edges, roots.limit(0), blocked).count() == 0
 
 
-@pytest.mark.parametrize("query", [graphs.hops, graphs.taint])
+@pytest.mark.parametrize("query", [graphs.call_paths, graphs.hops, graphs.taint])
 def test_found_nodes_are_not_kept(spark, sf_dir, query):
     """What a search found went through a shuffle and into checkpoints, round by round."""
     plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
