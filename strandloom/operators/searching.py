@@ -5,6 +5,7 @@ Nothing but the best rows of each task is shuffled. Rows with the same key are s
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from array import array
@@ -18,8 +19,17 @@ _TOKEN = re.compile(r"[a-z0-9_]+")
 #: Rows that are scored at once, rows of an output batch.
 BLOCK, OUT = 32_768, 500_000
 
-#: Floors of the search that this worker is at: what its tasks found before holds for the next ones, as it is in the same table.
-_floors: dict[str, np.ndarray] = {}
+#: Floors of the searches that this worker was at last: what its tasks found before holds for the next ones, as it is in the same table.
+_floors: dict[object, np.ndarray] = {}
+
+
+def floors_of(search: object, n: int) -> np.ndarray:
+    """Floors of the ``n`` queries of a search, as this worker knows them; the tasks of several searches may take turns."""
+    if search not in _floors:
+        while len(_floors) >= 8:
+            _floors.pop(next(iter(_floors)))
+        _floors[search] = np.full(n, -np.inf)
+    return _floors[search]
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -115,8 +125,8 @@ def _parts(texts: list[str], terms: Terms) -> Iterator[tuple[int, list[int]]]:
 class Postings:
     """Postings of the terms in a block of rows: ``rows`` and ``weights`` from ``at[term]`` to ``at[term + 1]``."""
 
-    def __init__(self, parts: list[tuple[int, int, list[int]]], n: int, n_terms: int, weight: Callable | None):
-        """parts: (row, length, terms). weight(term, tf, length), 1 without."""
+    def __init__(self, parts: list[tuple[int, int, list[int]]], n: int, n_terms: int, weight: Callable | None, counted: bool = False):
+        """parts: (row, length, terms). weight(term, tf, length), 1 without. Made for ``counted``, frequent terms have a byte a row."""
         slot, length = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.float64)
         found, sizes = array("i"), []
         for _, _, t in parts:
@@ -142,10 +152,22 @@ class Postings:
         order[np.lexsort((-many, most))] = np.arange(n_terms)
         self.at, self.most, self.order = at.tolist(), most.tolist(), order.tolist()
         self.dense = {}
-        for t in np.flatnonzero(many * 20 > n).tolist():
+        for t in np.flatnonzero(many * (64 if counted else 20) > n).tolist():
             s, e = self.at[t], self.at[t + 1]
-            self.dense[t] = v = np.zeros(n)
-            v[row[s:e]] = w[s:e]
+            self.dense[t] = v = np.zeros(n, np.uint8 if counted else np.float64)
+            v[row[s:e]] = 1 if counted else w[s:e]
+
+    def counted(self, terms: list[int], least: int, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, numbers of terms held) of the rows that hold at least ``least`` of at most 255 terms."""
+        at, dense = self.at, self.dense
+        acc[:] = 0
+        for t in terms:
+            if (v := dense.get(t)) is not None:
+                np.add(acc, v, out=acc)
+            elif (s := at[t]) < (e := at[t + 1]):
+                acc[self.rows[s:e]] += 1
+        rows = np.flatnonzero(acc >= least)
+        return rows, acc[rows]
 
     def add(self, terms: list[int], out: np.ndarray) -> None:
         at, dense = self.at, self.dense
@@ -268,20 +290,24 @@ def best_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, ids = held.value, shared.value
             asked = [terms.flat[s:e].tolist() for s, e in zip(terms.ends[:-1], terms.ends[1:])]
+            even = not bm25 and not own_bonus and factor > 0 and max(map(len, asked), default=0) < 256
             best, kind = Best(len(ids), k), None
-            if search_id not in _floors:
-                _floors.clear()
-                _floors[search_id] = best.floor
-            best.floor = _floors[search_id]
+            best.floor = floors_of(search_id, len(ids))
             for names, parts, extra, n in _blocks(_joined(batches), terms):
                 kind, keys = names.type, names.to_numpy(zero_copy_only=False)
-                posted, acc, floor = Postings(parts, n, len(terms.number), weight), np.zeros(n), best.floor
+                posted, acc, floor = Postings(parts, n, len(terms.number), weight, even), np.zeros(n, np.uint8 if even else np.float64), best.floor
                 out, most = [], extra.max(initial=0.0)
                 for q, wanted in enumerate(asked):
                     if not wanted and not own_bonus:
                         continue
-                    acc[:] = extra
-                    at, score = posted.reaching(wanted, floor[q], acc, most)
+                    if even:
+                        if (least := max(1, math.ceil((max(floor[q], 0.0) - 2e-6) / factor))) > len(wanted):
+                            continue
+                        at, score = posted.counted(wanted, least, acc)
+                        score = score * factor
+                    else:
+                        acc[:] = extra
+                        at, score = posted.reaching(wanted, floor[q], acc, most)
                     if not len(at):
                         continue
                     if len(at) > 4 * k:

@@ -181,3 +181,16 @@ def test_found_nodes_are_not_kept(spark, sf_dir, query):
     """What a search found went through a shuffle and into checkpoints, round by round."""
     plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Exchange|ExistingRDD", plan), plan
+
+
+def test_terms_are_counted_in_bytes(spark):
+    """More terms than a byte counts, and rows that hold as many as the floor."""
+    docs, queries = some_texts(300, seed=8)
+    queries = [*queries, (99, " ".join(f"w{i}" for i in range(300)))]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(queries, "query_id long, query string")
+    for ask in (queries, queries[:-1]):
+        got = {}
+        for r in R.term_score(d, q.filter(f"query_id <= {max(i for i, _ in ask)}"), k=6, weight=0.1).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 6), r.doc_id))
+        want = {i: {j: round(s / 20, 6) for j, s in x.items()} for i, x in searched(docs, ask, True).items()}
+        assert got == {i: x for i, x in first(want, 6).items() if x}
