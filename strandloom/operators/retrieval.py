@@ -6,6 +6,7 @@ Queries are small tables; each operator ranks within a query by a total order. Q
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strandloom.operators.searching import Best, best_rows, sharing_rows
+from strandloom.operators.searching import Best, best_rows, floors_of, sharing_rows
 from strandloom.session import cut_lineage
 
 QUERY_LIMIT = 10_000
@@ -111,7 +112,8 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
     found = None
     for i in range(n):
         part = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else asked).toArrow()
-        held = spark.sparkContext.broadcast(list(_by_size(part.column(0).combine_chunks(), part.column(1).combine_chunks(), near)))
+        sizes = _by_size(part.column(0).combine_chunks(), part.column(1).combine_chunks(), near)
+        held = spark.sparkContext.broadcast([(size, ids, matrix if near else _unit(matrix)) for size, ids, matrix in sizes])
         search = _nearest_by_distance(held, key, k) if near else _nearest_by_cosine(held, key, k)
         sims = rows.mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
@@ -149,8 +151,12 @@ def _nearest_by_distance(held, key: str, k: int) -> Callable[[Iterable[pa.Record
 
 
 def _nearest_by_cosine(held, key: str, k: int, tall: int = 4_096, wide: int = 2_048) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    search_id = uuid.uuid4().hex
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {size: (np.asarray(ids), m := _unit(matrix), m.astype(np.float32), Best(len(m), k)) for size, ids, matrix in held.value}
+        asked = {size: (np.asarray(ids), matrix, matrix.astype(np.float32), Best(len(matrix), k)) for size, ids, matrix in held.value}
+        for size, (*_, best) in asked.items():
+            best.floor = floors_of((search_id, size), len(best.floor))
         kind = None
         for batch in batches:
             kind = batch.column(0).type

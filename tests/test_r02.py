@@ -183,6 +183,18 @@ def test_found_nodes_are_not_kept(spark, sf_dir, query):
     assert not re.search("Exchange|ExistingRDD", plan), plan
 
 
+def test_nearest_vectors_of_a_later_task_start_from_the_floors(spark):
+    """Each task gave the best k of its own rows, however far they were."""
+    rng = np.random.default_rng(4)
+    near, far = rng.normal(1, 0.1, (50, 8)), rng.normal(-1, 0.1, (50, 8))
+    batch = lambda x, at: pa.record_batch([pa.array(np.arange(at, at + len(x))), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    held = type("Held", (), {"value": [(8, pa.array(np.arange(1000, 1020)), R._unit(rng.normal(1, 0.1, (20, 8))))]})
+    search = R._nearest_by_cosine(held, "vec_id", 5)
+    assert sum(b.num_rows for b in search(iter([batch(near, 0)]))) == 100 and sum(b.num_rows for b in search(iter([batch(far, 50)]))) == 0
+    other = R._nearest_by_cosine(held, "vec_id", 5)
+    assert sum(b.num_rows for b in other(iter([batch(far, 50)]))) == 100
+
+
 def test_terms_are_counted_in_bytes(spark):
     """More terms than a byte counts, and rows that hold as many as the floor."""
     docs, queries = some_texts(300, seed=8)
