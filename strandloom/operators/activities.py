@@ -84,8 +84,12 @@ def read_events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for path, x in fields or ():
                     if x is not None:
                         paths.append(path)
-                        texts.append(as_text(x))
-                        numbers.append(as_int(x))
+                        if type(x) is str:
+                            texts.append(x)
+                            numbers.append(as_int(x) if x[:1] in _STARTS else None)
+                        else:
+                            texts.append(as_text(x))
+                            numbers.append(as_int(x))
                 ends.append(len(paths))
             yield read, keys
 

@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +43,15 @@ def value_signature(text: str) -> str:
     return f"#{len(text)}"
 
 
+@lru_cache(20_000)
+def _weigh_text(value: str) -> tuple[str, float | None]:
+    sign = value_signature(value)
+    if sign.startswith("num"):
+        size = float(_NUMBER.match(value).group())
+        return sign, math.copysign(math.log(abs(size) + 1), size) if math.isfinite(size) else None
+    return sign, None
+
+
 def _weigh(value: object) -> tuple[str, float | None]:
     """The signature of a value and the number in it, on a log scale."""
     kind = field_type(value)
@@ -49,11 +59,7 @@ def _weigh(value: object) -> tuple[str, float | None]:
         whole = isinstance(value, int) or float(value).is_integer()
         return ("int" if whole else "frac"), math.copysign(math.log(abs(value) + 1), value) if math.isfinite(value) else None
     if kind == "string":
-        sign = value_signature(value)
-        if sign.startswith("num"):
-            size = float(_NUMBER.match(value).group())
-            return sign, math.copysign(math.log(abs(size) + 1), size) if math.isfinite(size) else None
-        return sign, None
+        return _weigh_text(value) if len(value) <= 200 else _weigh_text.__wrapped__(value)
     return str(value) if kind == "boolean" else "null", None
 
 
