@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strandloom.operators.searching import Best, best_rows, floors_of, sharing_rows
+from strandloom.operators.searching import Best, at_once, best_rows, floors_of, sharing_rows
 from strandloom.session import cut_lineage
 
 QUERY_LIMIT = 10_000
@@ -115,7 +115,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
         sizes = _by_size(part.column(0).combine_chunks(), part.column(1).combine_chunks(), near)
         held = spark.sparkContext.broadcast([(size, ids, matrix if near else _unit(matrix)) for size, ids, matrix in sizes])
         search = _nearest_by_distance(held, key, k) if near else _nearest_by_cosine(held, key, k)
-        sims = rows.mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
+        sims = (rows if near else at_once(rows)).mapInArrow(search, f"query_id long, {key} {kind}, {', '.join(f'{v} double' for v in values)}")
         best = top_per(sims, "query_id", [F.desc("score"), F.asc(key)], k)
         best = best.withColumn("score", -F.col("score")) if near else best
         found = best if found is None else found.unionByName(best)
@@ -181,7 +181,7 @@ def _nearest_by_cosine(held, key: str, k: int, tall: int = 4_096, wide: int = 2_
                         q += left
                         other = mine[r] != ids[q]
                         r, q = r[other], q[other]
-                        exact = np.concatenate([np.zeros(0)] + [np.round(np.einsum("ij,ij->i", part[r[s : s + 50_000]], matrix[q[s : s + 50_000]]), 6) for s in range(0, len(r), 50_000)])
+                        exact = np.concatenate([np.zeros(0)] + [np.round(np.einsum("ij,ij->i", part[r[s : s + 8_000]], matrix[q[s : s + 8_000]]), 6) for s in range(0, len(r), 8_000)])
                         keep = exact >= best.floor[q]
                         best.add(q[keep], mine[r[keep]], exact[keep])
         for ids, _, _, best in asked.values():

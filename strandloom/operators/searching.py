@@ -53,6 +53,7 @@ class Best:
         if not self.kept:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, keys, scores = (np.concatenate(c) for c in zip(*self.kept))
+        self.kept = []
         order = np.lexsort((keys, -scores, q))
         q, keys, scores = q[order], keys[order], scores[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
@@ -61,7 +62,7 @@ class Best:
         self.floor[q[last]] = np.maximum(self.floor[q[last]], scores[last])
         keep = place < self.k
         self.kept, self.new = [(q[keep], keys[keep], scores[keep])], 0
-        self.room = max(200_000, int(keep.sum()))
+        self.room = max(200_000, int(keep.sum()) // 2)
         return self.kept[0]
 
 
@@ -214,25 +215,37 @@ class Postings:
         return at, score
 
 
+def at_once(rows: DataFrame) -> DataFrame:
+    """``rows`` in no more tasks than the cluster runs at once, without a shuffle: a task gives the best rows of every query, so what
+    is shuffled follows the tasks, however many files there are."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], terms: Terms) -> Iterator[tuple[pa.Array, list, np.ndarray, int]]:
-    """(keys, parts, bonus, rows) of blocks of rows that have a key."""
+    """(keys, parts, bonus, rows) of blocks of about BLOCK rows, those that have a key."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, BLOCK):
-            b = batch.slice(lo, BLOCK)
+        rows, size = batch.num_rows, -(-batch.num_rows // max(1, round(batch.num_rows / BLOCK)))
+        for lo in range(0, rows, max(1, size)):
+            b = batch.slice(lo, size)
+            if lo + size >= rows:
+                del batch
             b = b.filter(b.column(0).is_valid())
             parts = [(i, n, t) for i, texts in enumerate(b.column(1).to_pylist()) for n, t in _parts(texts, terms)]
-            yield b.column(0), parts, np.asarray(b.column(2), np.float64), b.num_rows
+            b = b.drop_columns([b.schema.names[1]])
+            yield b.column(0), parts, np.asarray(b.column(1), np.float64), b.num_rows
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about BLOCK rows: scoring a block of few rows costs as much as one of many."""
+    """Batches of about BLOCK rows: scoring a block of few rows costs as much as one of many. Only the batch given is kept."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.num_rows
+        del b
         if n >= BLOCK:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            many = pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
             held, n = [], 0
+            yield many.pop()
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -296,6 +309,7 @@ def best_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int
             for names, parts, extra, n in _blocks(_joined(batches), terms):
                 kind, keys = names.type, names.to_numpy(zero_copy_only=False)
                 posted, acc, floor = Postings(parts, n, len(terms.number), weight, even), np.zeros(n, np.uint8 if even else np.float64), best.floor
+                parts.clear()
                 out, most = [], extra.max(initial=0.0)
                 for q, wanted in enumerate(asked):
                     if not wanted and not own_bonus:
@@ -323,13 +337,14 @@ def best_rows(chunks: DataFrame, queries: DataFrame, key: str, text: str, k: int
                 if out:
                     at = np.concatenate([a for _, a, _ in out])
                     best.add(np.repeat([q for q, _, _ in out], [len(a) for _, a, _ in out]), keys[at], np.concatenate([s for *_, s in out]))
+                del posted, out  # before the next block is read
             if kind is not None:
                 q, names, score = best.compact()
                 for lo in range(0, len(q), OUT):
                     hi = lo + OUT
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[lo:hi])), pa.array(names[lo:hi], kind), pa.array(score[lo:hi])], names=["query_id", key, "score"])
 
-        return docs.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
+        return at_once(docs).mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
 
     return search(*_asked(queries, F.array_distinct(tokens(F.col("query"))), within))
 
