@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -241,3 +242,22 @@ def test_searches_run_in_no_more_tasks_than_slots(spark):
     near = R.knn(v, v.filter("doc_id < 60").withColumnsRenamed({"doc_id": "query_id", "embedding": "query_vector"}), "doc_id", "embedding", 3)
     assert f"Coalesce {slots}" in near._jdf.queryExecution().executedPlan().toString()
     assert near.count() == 3 * sum(bool(t) for _, t in docs[:60])
+
+
+def test_jaccard_pairs_of_a_row_come_in_runs(spark):
+    """Pairs came by query: two values a pair were stored in many bits, and rounded one by one."""
+    docs, queries = some_texts(500, seed=3)
+    long = (70, " ".join(f"w{i}" for i in range(300)))
+    d, q = spark.createDataFrame([*docs, (None, "w1"), (500, None)], "doc_id long, text string").coalesce(1), spark.createDataFrame([*queries, long, (71, "")], "query_id long, query string")
+    found = R.token_overlap(d, q, "doc_id", "text").collect()
+    sets, asked = {i: set(t.split()) for i, t in docs}, {i: set(t.split()) for i, t in [*queries, long]}
+    keys = [(r.doc_id, len(asked[r.query_id] & sets[r.doc_id]), len(asked[r.query_id])) for r in found]
+    assert keys == sorted(keys)
+    up = lambda a, b: int(Decimal(a / b).quantize(Decimal("0.000001"), ROUND_HALF_UP) * 1_000_000)
+    want = {(a, b, up(len(x & y), len(x | y)), up(len(x & y), len(x))) for a, x in asked.items() for b, y in sets.items() if x & y}
+    assert {(r.query_id, r.doc_id, round(r.jaccard * 1e6), round(r.overlap * 1e6)) for r in found} == want and len(found) == len(want)
+
+
+def test_ratios_round_halves_up():
+    n, d = np.array([1, 1, 3, 2, 16, 1]), np.array([128, 640, 640, 3, 16, 3])
+    assert S.ratio(n, d).tolist() == [0.007813, 0.001563, 0.004688, 0.666667, 1.0, 0.333333]
